@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import chat
+from nearfield.llm import chat, exact_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact groups of all documents; the largest doc_id of each stays."""
+    judged, _ = exact_dedup.deduplicate(_read(spark, sf_dir, "documents"), keep="max")
+    return judged.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+OP8_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+
 #: The conversation that op10 adds to the table.
 PROBE = "</s>[INST] ok [/INST]"
 
@@ -47,9 +60,11 @@ FROM f GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_exact_dedup": op8_exact_dedup,
     "op10_chat_format": op10_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_exact_dedup": OP8_SQL,
     "op10_chat_format": OP10_SQL,
 }
