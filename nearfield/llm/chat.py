@@ -65,15 +65,15 @@ def parse(formatted: Column) -> Column:
     openings = [o for _, o, _ in TEMPLATE] + [OTHER_TEXT]
     inner = lambda p: unescape(p.substr(F.lit(2), F.length(p) - 2))  # noqa: E731  without the space on each side
 
-    # mark i stands between pieces i and i+1
-    cells = F.transform(marks, lambda m, i: F.struct(m.alias("m"), F.get(pieces, i).alias("before"), F.get(pieces, i + 1).alias("after")))
-    opened = F.filter(cells, lambda c: c["m"].isin(openings))
+    # mark i stands between pieces i and i+1; zipped, each array is made once and not again for each element
+    cells = F.arrays_zip(marks, pieces, F.slice(pieces, 2, F.size(pieces)))
+    opened = F.filter(cells, lambda c: c["0"].isin(openings))
 
     def one(c: Column) -> Column:
-        role = inner(c["before"])
+        role = inner(c["1"])
         for name, opening, _ in TEMPLATE:
-            role = F.when(c["m"] == opening, F.lit(name)).otherwise(role)
-        return F.struct(role.alias("role"), inner(c["after"]).alias("text"))
+            role = F.when(c["0"] == opening, F.lit(name)).otherwise(role)
+        return F.struct(role.alias("role"), inner(c["2"]).alias("text"))
 
     return F.transform(opened, one)
 
