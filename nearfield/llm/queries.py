@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import chat, exact_dedup, sharding, url_filter
+from nearfield.llm import chat, exact_dedup, sharding, simhash, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_read(spark, sf_dir, "documents"), shards=24)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of all documents."""
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 #: Fixed rules of op5.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 URL_STEPS = 6
@@ -106,6 +111,7 @@ FROM f GROUP BY conv_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_simhash": op2_simhash,
     "op5_url_filter": op5_url_filter,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_chat_format": op10_chat_format,
