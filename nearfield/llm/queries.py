@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import chat, exact_dedup, sharding, simhash, url_filter
+from nearfield.llm import chat, decontaminate, exact_dedup, secrets, sharding, simhash, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +24,16 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: base patterns and confirmed structures."""
+    return secrets.scan(_read(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents inside occurrences of benchmark phrases."""
+    return decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 #: Fixed rules of op5.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 URL_STEPS = 6
@@ -112,7 +122,9 @@ FROM f GROUP BY conv_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_simhash": op2_simhash,
+    "op3_secret_scan": op3_secret_scan,
     "op5_url_filter": op5_url_filter,
+    "op6_decontamination": op6_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_chat_format": op10_chat_format,
 }
