@@ -28,6 +28,16 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # else each store reserves some MB of disk beyond what it holds
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+#: While hits fetch their bytes: where the groups are small by Spark's own estimate, a Bloom filter of them
+#: (8 MB at most) drops other rows before the shuffle; where they are not, all rows shuffle.
+FETCH_CONF = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "64MB",
 }
 
 
@@ -77,7 +87,8 @@ def keep_state(staged: DataFrame, keep: str, bytes_per_batch: int) -> DataFrame:
 def colliding(staged: DataFrame, state: DataFrame) -> DataFrame:
     """The digests under which a check of the full bytes against the located content fails (none, for SHA-256)."""
     groups = state.filter("group_size > 1").select("digest", "locator")
-    hits = staged.select("row_id", "digest", F.coalesce("text", F.lit("")).alias("content")).join(groups, "digest")
+    with _conf(staged.sparkSession, FETCH_CONF):
+        hits = materialize(staged.select("row_id", "digest", F.coalesce("text", F.lit("")).alias("content")).join(groups, "digest"), "exact-hits")
     located = hits.filter("row_id = locator").select("digest", F.col("content").alias("located"))
     return hits.filter("row_id <> locator").join(located, "digest").filter(F.col("content") != F.col("located")).select("digest").distinct()
 
