@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm import chat, decontaminate, exact_dedup, packing, quality, secrets, sharding, simhash, url_filter
+from nearfield.llm import chat, decontaminate, exact_dedup, packing, quality, secrets, sharding, simhash, substrings, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,6 +44,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), window=2048, end_id=1)
 
 
+def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without strings of 50 bytes that start in earlier ones."""
+    return substrings.remove_repeats(_read(spark, sf_dir, "documents")).drop("spans")
+
+
 #: Fixed rules of op5.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 URL_STEPS = 6
@@ -133,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_simhash": op2_simhash,
     "op3_secret_scan": op3_secret_scan,
+    "op4_repeated_substrings": op4_repeated_substrings,
     "op5_url_filter": op5_url_filter,
     "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
