@@ -1,0 +1 @@
+"""Nearfield: vector search and analytics over Spark DataFrames."""
