@@ -149,7 +149,8 @@ def forest_by_flips(fps: np.ndarray, free: int, budgets: list[tuple[int, int]])
         other = fps ^ np.uint64(flip)
         at = np.minimum(np.searchsorted(fps, other), len(fps) - 1)
         a = np.flatnonzero((fps[at] == other) & (fps < other))
-        for i, j in zip(a.tolist(), at[a].tolist(), strict=True):
+        for one, two in zip(a.tolist(), at[a].tolist(), strict=True):
+            i, j = one, two
             while root[i] != i:
                 root[i] = root[root[i]]
                 i = root[i]
@@ -158,7 +159,7 @@ def forest_by_flips(fps: np.ndarray, free: int, budgets: list[tuple[int, int]])
                 j = root[j]
             if i != j:
                 root[max(i, j)] = min(i, j)
-                out.append((int(fps[i]), int(fps[j])))
+                out.append((int(fps[one]), int(fps[two])))
     return out
 
 

@@ -250,7 +250,7 @@ def blocks(docs: DataFrame, cells: int, block_bytes: int) -> DataFrame:
     return materialize(rows.withColumn("is_block", F.col("cell") < 0), "substring-blocks", partition_by="is_block")
 
 
-def shared_marks(table: DataFrame) -> DataFrame:
+def shared_marks(table: DataFrame, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """(block, shared, hot): for each block those of its marks that other blocks have too; hot ones apart."""
 
     def one(group: pa.Table) -> pa.Table:
@@ -268,8 +268,8 @@ def shared_marks(table: DataFrame) -> DataFrame:
         for part in np.split(np.arange(len(block)), np.flatnonzero(np.diff(block)) + 1):
             if len(part):
                 out["block"].append(int(block[part[0]]))
-                out["shared"].append(mark[part][times[part] <= HOT_BLOCKS].tobytes())
-                out["hot"].append(mark[part][times[part] > HOT_BLOCKS].tobytes())
+                out["shared"].append(mark[part][times[part] <= hot_blocks].tobytes())
+                out["hot"].append(mark[part][times[part] > hot_blocks].tobytes())
         return pa.table(out, pa.schema([("block", pa.int64()), ("shared", pa.binary()), ("hot", pa.binary())]))
 
     return table.filter("NOT is_block").select("block", "cell", "body").groupBy("cell").applyInArrow(one, "block long, shared binary, hot binary")
@@ -400,7 +400,7 @@ def _apply(rows: list[dict]) -> pa.Table:
         replies = sorted((r for r in rows if r["kind"] == 2), key=lambda r: r["cell"])
         if len(start):
             # windows of the pieces stand cell by cell, as they were sent; the replies fill whole bytes
-            bits, at = [], 0
+            bits = []
             for r in replies:
                 n = r["n"]
                 bits.append(np.unpackbits(np.frombuffer(r["body"], dtype=np.uint8))[:n].astype(bool))
@@ -430,15 +430,16 @@ def _apply(rows: list[dict]) -> pa.Table:
     return pa.Table.from_pylist(out, schema)
 
 
-def remove_repeats(docs: DataFrame, block_bytes: int = 8 << 20, batch_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, block_bytes: int = 8 << 20, batch_bytes: int = 4 << 20, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (of bytes, end exclusive) of every document.
 
-    block_bytes: of text in a block.  batch_bytes: of text under one suffix array.
+    block_bytes: of text in a block.  batch_bytes: of text under one suffix array.  hot_blocks: marks in more
+    blocks go window by window.
     """
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).head()[0] or 0
     few, many = max(16, -(-total // (8 << 20))), max(64, -(-total // (2 << 20)))
     table = blocks(docs, few, block_bytes)
-    shared = materialize(shared_marks(table), "substring-shared")
+    shared = materialize(shared_marks(table, hot_blocks), "substring-shared")
     sent = sent_runs(table, shared, many)
     release(shared)
     judged = materialize(judged_runs(sent, batch_bytes), "substring-bits")
