@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -236,16 +237,14 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     docs: doc_id, row_id, text (row_id is carried along).  block_bytes: of benchmark text sent to the tasks at
     once.  shard_words, shard_docs: size of a shard.
     """
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = bench.agg(F.sum(F.octet_length("text") + 16)).head()[0] or 0
-    blocks = -(-size // block_bytes) or 1
-    read = lambda b: [tuple(r) for r in b.collect()]  # noqa: E731  one block, of bounded bytes
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("row_id").cast("long").alias("row_id"), "text")
-    if blocks == 1:
-        found = _pass(docs, read(bench), window, shard_words, shard_docs)
+    items = _item_blocks(benchmark, block_bytes)
+    first, second = next(items), next(items, None)
+    if second is None:
+        found = _pass(docs, first, window, shard_words, shard_docs)
         return found.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"]))
     staged = materialize(docs.withColumn("at", F.monotonically_increasing_id()), "decontaminate-staged")
-    parts = [_pass(staged.select("doc_id", F.col("at").alias("row_id"), "text"), read(bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)), window, shard_words, shard_docs) for i in range(blocks)]
+    parts = [_pass(staged.select("doc_id", F.col("at").alias("row_id"), "text"), block, window, shard_words, shard_docs) for block in chain((first, second), items)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -275,8 +274,41 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, data[at:]]).decode()
 
 
-def kept_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without any hit."""
-    staged = materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("doc")), "decontaminate-rows")
-    clean = find(staged.select("doc_id", "row_id", "text"), benchmark).filter("n_hit = 0").select("row_id")
-    return staged.join(clean, "row_id", "left_semi").select(*[F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])
+def kept_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 32 << 20, shard_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of ``docs`` without any hit, with all columns: a filter where they lie, one pass per benchmark block."""
+    import pyarrow as pa
+
+    text_at, schema = docs.columns.index("text"), docs.schema
+    for items in _item_blocks(benchmark, block_bytes):
+        phrases = docs.sparkSession.sparkContext.broadcast(Phrases(items, window))
+
+        def run(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
+            shard, held, size = Shard(phrases.value), [], 0
+
+            def told() -> Iterator[pa.RecordBatch]:
+                clean, at = [not s for s in shard.found()[0]], 0
+                for b in held:
+                    yield b.filter(pa.array(clean[at : at + b.num_rows], pa.bool_()))
+                    at += b.num_rows
+
+            for b in batches:
+                for text in text_bytes(b.column(text_at)):
+                    shard.add(text)
+                    size += len(text)
+                held.append(b)
+                if size >= shard_bytes:
+                    yield from told()
+                    shard, held, size = Shard(phrases.value), [], 0
+            yield from told()
+
+        docs = docs.mapInArrow(run, schema)
+    return docs
+
+
+def _item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The benchmark's items in blocks of about ``block_bytes`` of text."""
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    size = bench.agg(F.sum(F.octet_length("text") + 16)).head()[0] or 0
+    blocks = -(-size // block_bytes) or 1
+    for i in range(blocks):
+        yield [tuple(r) for r in (bench if blocks == 1 else bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)).collect()]

@@ -280,6 +280,7 @@ def test_hits_of_odd_documents(spark, docs, no_docs):
     assert decontaminate.report(docs, bench.limit(0)).filter("contaminated OR n_items > 0").count() == 0
     kept = decontaminate.kept_documents(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum(not r[-1] for r in want)
+    assert decontaminate.kept_documents(docs, bench, block_bytes=60, shard_bytes=100).count() == kept.count()
     assert decontaminate.cut("Keep This, drop THAT word. end", [(2, 4)]) == "Keep This,  word. end"
 
 
