@@ -90,7 +90,7 @@ def colliding(staged: DataFrame, state: DataFrame) -> DataFrame:
     with _conf(staged.sparkSession, FETCH_CONF):
         hits = materialize(staged.select("row_id", "digest", F.coalesce("text", F.lit("")).alias("content")).join(groups, "digest"), "exact-hits")
     located = hits.filter("row_id = locator").select("digest", F.col("content").alias("located"))
-    return hits.filter("row_id <> locator").join(located, "digest").filter(F.col("content") != F.col("located")).select("digest").distinct()
+    return hits.filter("row_id <> locator").join(located, "digest").filter(F.col("content") != F.col("located")).select("digest")
 
 
 def deduplicate(docs: DataFrame, keep: str = "max", bytes_per_batch: int = 1 << 30, digest=F.unhex) -> tuple[DataFrame, DataFrame]:
@@ -103,7 +103,8 @@ def deduplicate(docs: DataFrame, keep: str = "max", bytes_per_batch: int = 1 <<
     staged = stage(docs, digest)
     state = keep_state(staged, keep, bytes_per_batch)
     rows = staged.select("row_id", "doc_id", "text_sha256", "digest")
-    clash = materialize(colliding(staged, state), "exact-collisions")
+    # made distinct after it is written: an aggregation in the join's own stage would keep a hot digest in one task
+    clash = materialize(colliding(staged, state), "exact-collisions").distinct()
     judged = rows.join(state, "digest")
     if not clash.isEmpty():
         pick = F.max_by if keep == "max" else F.min_by
