@@ -4,6 +4,7 @@ A byte is removed if a string of ``length`` bytes (50) that covers it also start
 doc_id.  The result is exact over all documents; matches never cross documents.
 
 1. Documents are gathered into blocks of some MB, written once (compressed) to the shared folder.
+   Documents whose whole text an earlier one has are folded by its digest: all of such a copy goes.
 2. Each window of 50 bytes has a mark: the least hash of the 32 substrings of 19 bytes in it.  The mark depends
    on the window's bytes alone, so equal windows have equal marks, and neighbours mostly share theirs: a run of
    windows with one mark is one record.  Marks that two blocks or two documents share survive; all others are
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import NO_ID, materialize, release, text_bytes
+from nearfield.llm.common import NO_ID, delete, materialize, text_bytes
 
 LENGTH, GRAM = 50, 19
 SPAN = LENGTH - GRAM + 1  # substrings of GRAM bytes in a window: 32
@@ -172,28 +173,34 @@ def marks(text: np.ndarray, slab: int = 1 << 20) -> np.ndarray:
     return out
 
 
-def runs(text: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, windows, mark, document) of each run of windows with one mark inside one document."""
+def runs(text: np.ndarray, sizes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, windows, mark, document) of each run of windows with one mark (its ``bits`` high bits) in one document."""
     none = np.zeros(0, dtype=np.int64)
     if len(text) < LENGTH:
         return none, none, np.zeros(0, dtype=np.uint64), none
     mark = marks(text)
+    mark &= ~np.uint64((1 << (64 - bits)) - 1)
     ends = np.cumsum(sizes)
-    doc = np.repeat(np.arange(len(sizes)), sizes)[: len(mark)]
-    valid = np.arange(len(mark)) + LENGTH <= ends[doc]
+    crossing = np.zeros(len(text) + 1, dtype=np.int8)  # windows that would leave their document
+    held = sizes > 0
+    crossing[np.maximum(ends - sizes, ends - LENGTH + 1)[held]] += 1
+    crossing[ends[held]] -= 1
+    invalid = np.cumsum(crossing, dtype=np.int8)[: len(mark)] > 0
     new = np.ones(len(mark), dtype=bool)
-    new[1:] = (mark[1:] != mark[:-1]) | (doc[1:] != doc[:-1])
-    edge = np.flatnonzero(np.concatenate([new | ~valid, [True]]))
+    new[1:] = mark[1:] != mark[:-1]
+    first = (ends - sizes)[held]
+    new[first[first < len(mark)]] = True
+    edge = np.flatnonzero(np.append(new | invalid, True))
     start, stop = edge[:-1], edge[1:]
-    ok = valid[start]
+    ok = ~invalid[start]
     start, stop = start[ok], stop[ok]
-    return start, stop - start, mark[start], doc[start]
+    return start, stop - start, mark[start], np.searchsorted(ends, start, side="right")
 
 
-def _pack(a: np.ndarray) -> bytes:
+def _pack(a: np.ndarray, level: int = 3) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+    return zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(a).tobytes())
 
 
 def _unpack(b: bytes, dtype) -> np.ndarray:
@@ -202,6 +209,22 @@ def _unpack(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompressobj().decompress(b), dtype=dtype)
 
 
+def _pack_marks(sorted_marks: np.ndarray, bits: int) -> bytes:
+    """Sorted marks by their differences."""
+    gaps = np.diff(sorted_marks >> np.uint64(64 - bits), prepend=np.uint64(0))
+    return _pack(gaps.view(np.uint8).reshape(-1, 8).T)  # byte by byte: the high ones are all alike
+
+
+def _unpack_marks(b: bytes, bits: int) -> np.ndarray:
+    gaps = np.ascontiguousarray(_unpack(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return np.cumsum(gaps, dtype=np.uint64) << np.uint64(64 - bits)
+
+
+def _sub(keys: np.ndarray) -> np.ndarray:
+    """One of 256 parts of a cell, from lower bits of the key."""
+    return (keys >> np.uint64(24) & np.uint64(255)).astype(np.uint8)
+
+
 def _cell(keys: np.ndarray, cells: int) -> np.ndarray:
     """The task of each key: its share of the range of 32 high bits."""
     return ((keys >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
@@ -210,8 +233,8 @@ def _cell(keys: np.ndarray, cells: int) -> np.ndarray:
 _BLOCK = "block long, cell long, ids binary, sizes binary, body binary"
 
 
-def blocks(docs: DataFrame, cells: int, block_bytes: int) -> DataFrame:
-    """Rows of two kinds: cell -1 holds a block's documents, any other cell the block's marks of that cell."""
+def blocks(docs: DataFrame, cells: int, block_bytes: int, bits: int) -> DataFrame:
+    """Rows of three kinds: cell -1 holds a block's documents, the next ``cells`` its marks, the rest digests of its texts."""
     names = [c.split()[0] for c in _BLOCK.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,11 +249,17 @@ def blocks(docs: DataFrame, cells: int, block_bytes: int) -> DataFrame:
             by = sorted(range(len(ids)), key=lambda i: (ids[i], len(texts[i])))
             body = np.frombuffer(b"".join(texts[i] for i in by), dtype=np.uint8)
             sizes = np.array([len(texts[i]) for i in by], dtype=np.int64)
-            yield pa.RecordBatch.from_pylist([{"block": block, "cell": -1, "ids": _pack(np.array([ids[i] for i in by], dtype=np.int64)), "sizes": _pack(sizes), "body": _pack(body)}], schema)
-            own = np.unique(runs(body, sizes)[2])
+            yield pa.RecordBatch.from_pylist([{"block": block, "cell": -1, "ids": _pack(np.array([ids[i] for i in by], dtype=np.int64)), "sizes": _pack(sizes), "body": _pack(body, 7)}], schema)
+            own = np.unique(runs(body, sizes, bits)[2])
             cell = _cell(own, cells)
             cuts = np.flatnonzero(np.diff(cell)) + 1
-            rows = [{"block": block, "cell": int(c[0]), "body": m.tobytes()} for c, m in zip(np.split(cell, cuts), np.split(own, cuts), strict=True) if len(m)]
+            rows = [{"block": block, "cell": int(c[0]), "body": _pack_marks(m, bits)} for c, m in zip(np.split(cell, cuts), np.split(own, cuts), strict=True) if len(m)]
+            if held_texts := [i for i in range(len(by)) if sizes[i] >= LENGTH]:
+                digest = np.frombuffer(b"".join(hashlib.sha256(texts[by[i]]).digest()[:16] for i in held_texts), dtype=np.uint64).reshape(-1, 2)
+                which, place = cells + (digest[:, 0] % np.uint64(cells)).astype(np.int64), np.array(held_texts)
+                for c in np.unique(which).tolist():
+                    some = which == c
+                    rows.append({"block": block, "cell": c, "ids": _pack(np.array([ids[by[i]] for i in place[some]], dtype=np.int64)), "sizes": _small(place[some]), "body": digest[some].tobytes()})
             for i in range(0, len(rows), 4096):
                 yield pa.RecordBatch.from_pylist(rows[i : i + 4096], schema)
 
@@ -250,51 +279,80 @@ def blocks(docs: DataFrame, cells: int, block_bytes: int) -> DataFrame:
     return materialize(rows.withColumn("is_block", F.col("cell") < 0), "substring-blocks", partition_by="is_block")
 
 
-def shared_marks(table: DataFrame, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
-    """(block, shared, hot): for each block those of its marks that other blocks have too; hot ones apart."""
+_SHARED = "block long, shared binary, hot binary, copies binary"
+_SHARED_SCHEMA = pa.schema([(c.split()[0], pa.int64() if c.split()[1] == "long" else pa.binary()) for c in _SHARED.split(", ")])
+
+
+def _copies(rows: list[dict]) -> list[dict]:
+    """For each block, the places of documents whose whole text a smaller doc_id has too."""
+    ids = [_unpack(r["ids"], np.int64) for r in rows]
+    place = np.concatenate([_large(r["sizes"]) for r in rows])
+    block = np.repeat(np.array([r["block"] for r in rows], dtype=np.int64), [len(x) for x in ids])
+    digest, own = np.concatenate([np.frombuffer(r["body"], dtype=np.uint64).reshape(-1, 2) for r in rows]), np.concatenate(ids)
+    by = np.lexsort((own, digest[:, 1], digest[:, 0]))
+    digest, own, block, place = digest[by], own[by], block[by], place[by]
+    first = np.append(True, (digest[1:] != digest[:-1]).any(axis=1))
+    later = own > own[np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))]
+    return [{"block": b, "copies": _small(np.sort(place[later & (block == b)]))} for b in np.unique(block[later]).tolist()]
+
+
+def shared_marks(table: DataFrame, cells: int, bits: int, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
+    """(block, shared, hot, copies): its marks that other blocks have too, hot ones apart; its copies of earlier texts."""
 
     def one(group: pa.Table) -> pa.Table:
-        lists = [np.frombuffer(b, dtype=np.uint64) for b in group.column("body").to_pylist()]
-        block = np.repeat(np.array(group.column("block").to_pylist(), dtype=np.int64), [len(x) for x in lists])
+        rows = group.to_pylist()
+        if rows[0]["cell"] >= cells:
+            return pa.Table.from_pylist(_copies(rows), _SHARED_SCHEMA)
+        lists = [_unpack_marks(r["body"], bits) for r in rows]
+        block = np.repeat(np.array([r["block"] for r in rows], dtype=np.int64), [len(x) for x in lists])
         mark = np.concatenate(lists)
         by = np.argsort(mark, kind="stable")
         mark, block = mark[by], block[by]
-        first = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))
-        times = np.repeat(np.diff(np.append(first, len(mark))), np.diff(np.append(first, len(mark))))
+        first = np.flatnonzero(np.append(True, mark[1:] != mark[:-1]))
+        many = np.diff(np.append(first, len(mark)))
+        times = np.repeat(many, many)
         mark, block, times = mark[times > 1], block[times > 1], times[times > 1]
-        out: dict[str, list] = {"block": [], "shared": [], "hot": []}
         by = np.argsort(block, kind="stable")
         mark, block, times = mark[by], block[by], times[by]
+        out = []
         for part in np.split(np.arange(len(block)), np.flatnonzero(np.diff(block)) + 1):
             if len(part):
-                out["block"].append(int(block[part[0]]))
-                out["shared"].append(mark[part][times[part] <= hot_blocks].tobytes())
-                out["hot"].append(mark[part][times[part] > hot_blocks].tobytes())
-        return pa.table(out, pa.schema([("block", pa.int64()), ("shared", pa.binary()), ("hot", pa.binary())]))
+                own, hot = mark[part], times[part] > hot_blocks
+                out.append({"block": int(block[part[0]]), "shared": _pack_marks(own[~hot], bits), "hot": _pack_marks(own[hot], bits)})
+        return pa.Table.from_pylist(out, _SHARED_SCHEMA)
 
-    return table.filter("NOT is_block").select("block", "cell", "body").groupBy("cell").applyInArrow(one, "block long, shared binary, hot binary")
+    return table.filter("NOT is_block").select("block", "cell", "ids", "sizes", "body").groupBy("cell").applyInArrow(one, _SHARED)
 
 
-def _block_of(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    row = table.to_pylist()[0]
-    return row["block"], _unpack(row["ids"], np.int64), _unpack(row["sizes"], np.int64), _unpack(row["body"], np.uint8)
+_SENT = "block long, cell long, subs binary, ids binary, owners binary, sizes binary, body binary"
+_SENT_SCHEMA = pa.schema([(c.split()[0], pa.int64() if c.split()[1] == "long" else pa.binary()) for c in _SENT.split(", ")])
 
 
-_SENT = "block long, cell long, keys binary, owners binary, sizes binary, body binary, places binary"
-_SENT_SCHEMA = pa.schema([(c.split()[0], pa.int64() if c.split()[1] == "long" else pa.binary()) for c in _SENT.split(", ")])
+def _small(a: np.ndarray) -> bytes:
+    """Numbers from 0 on, byte by byte."""
+    return _pack(a.astype("<u4").view(np.uint8).reshape(-1, 4).T)
 
 
-def sent_runs(table: DataFrame, shared: DataFrame, cells: int) -> DataFrame:
-    """Per block: rows with the different runs of each cell, and one (cell -1) with the places of all its runs."""
+def _large(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(_unpack(b, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
-    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+
+class Block:
+    """A block and those of its runs that need judging; made twice from the same rows, to send and to apply."""
+
+    def __init__(self, row: dict, told: list[dict], cells: int, bits: int):
         import xxhash
 
-        if not left.num_rows:
-            return _SENT_SCHEMA.empty_table()
-        block, ids, sizes, body = _block_of(left)
-        start, count, mark, doc = runs(body, sizes)
-        join = lambda c: np.sort(np.concatenate([np.frombuffer(b, dtype=np.uint64) for b in right.column(c).to_pylist()] or [np.zeros(0, dtype=np.uint64)]))
+        self.block, self.ids, self.sizes, self.body = row["block"], _unpack(row["ids"], np.int64), _unpack(row["sizes"], np.int64), _unpack(row["body"], np.uint8)
+        self.is_copy = np.zeros(len(self.ids), dtype=bool)
+        for r in told:
+            if r["copies"] is not None:
+                self.is_copy[_large(r["copies"])] = True
+        ids = self.ids
+        start, count, mark, doc = runs(self.body, self.sizes, bits)
+        own = ~self.is_copy[doc]  # a copy goes as a whole
+        start, count, mark, doc = start[own], count[own], mark[own], doc[own]
+        join = lambda c: np.sort(np.concatenate([np.zeros(0, dtype=np.uint64), *(_unpack_marks(r[c], bits) for r in told if r[c] is not None)]))
         common, hot = join("shared"), join("hot")
         among = lambda x, them: them[np.minimum(np.searchsorted(them, x), len(them) - 1)] == x if len(them) else np.zeros(len(x), dtype=bool)
         # marks that two documents of the block share
@@ -307,61 +365,86 @@ def sent_runs(table: DataFrame, shared: DataFrame, cells: int) -> DataFrame:
         times = np.where(is_hot, count, 1)
         nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
         start, count, mark, is_hot, doc = np.repeat(start, times) + nth, np.repeat(np.where(is_hot, 1, count), times), np.repeat(mark, times), np.repeat(is_hot, times), np.repeat(doc, times)
-        whole = body.tobytes()
+        whole = self.body.tobytes()
         seen: dict[bytes, int] = {}
-        piece = np.fromiter((seen.setdefault(whole[a:b], len(seen)) for a, b in zip(start.tolist(), (start + count + LENGTH - 1).tolist(), strict=True)), dtype=np.int64, count=len(start))
-        pieces = list(seen)
-        first = np.full(len(pieces), len(piece), dtype=np.int64)
-        np.minimum.at(first, piece, np.arange(len(piece)))  # documents of a block are in the order of their ids
-        owner, key = ids[doc[first]], mark[first]
-        windows = np.array([len(p) - LENGTH + 1 for p in pieces], dtype=np.int64)
+        self.piece = np.fromiter((seen.setdefault(whole[a:b], len(seen)) for a, b in zip(start.tolist(), (start + count + LENGTH - 1).tolist(), strict=True)), dtype=np.int64, count=len(start))
+        self.pieces = list(seen)
+        # documents of a block are in the order of their ids, pieces in that of their first run
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(self.piece), prepend=-1) > 0)
+        key = mark[first]
         for i in np.flatnonzero(is_hot[first]).tolist():
-            key[i] = xxhash.xxh64_intdigest(pieces[i])
-        cell = _cell(key, cells)
-        by = np.argsort(cell, kind="stable")
-        at = np.empty(len(by), dtype=np.int64)
-        at[by] = np.arange(len(by))
-        order_first = np.diff(start, prepend=0)
-        out = [{"block": block, "cell": -1, "keys": _pack(order_first.astype(np.int32)), "owners": _pack(owner[by]), "sizes": _pack(windows[by].astype(np.int32)), "body": _pack(count.astype(np.int32)), "places": _pack(at[piece].astype(np.int32))}]
-        for part in np.split(by, np.flatnonzero(np.diff(cell[by])) + 1):
+            key[i] = xxhash.xxh64_intdigest(self.pieces[i])
+        self.start, self.count, self.doc, self.owner = start, count, doc, ids[doc[first]]
+        self.windows = np.array([len(p) - LENGTH + 1 for p in self.pieces], dtype=np.int64)
+        self.cell, self.sub = _cell(key, cells), _sub(key)
+        #: The order in which pieces are sent.
+        self.order = np.lexsort((self.sub, self.cell))
+
+    def sent(self) -> list[dict]:
+        out = []
+        for part in np.split(self.order, np.flatnonzero(np.diff(self.cell[self.order])) + 1):
             if len(part):
-                out.append({"block": block, "cell": int(cell[part[0]]), "keys": _pack(key[part]), "owners": _pack(owner[part]), "sizes": _pack(windows[part].astype(np.int32)), "body": _pack(np.frombuffer(b"".join(pieces[i] for i in part.tolist()), dtype=np.uint8))})
-        return pa.Table.from_pylist(out, _SENT_SCHEMA)
+                own, of = np.unique(self.owner[part], return_inverse=True)
+                out.append({"block": self.block, "cell": int(self.cell[part[0]]), "subs": _pack(self.sub[part]), "ids": _pack(own), "owners": _small(of), "sizes": _small(self.windows[part]), "body": _pack(np.frombuffer(b"".join(self.pieces[i] for i in part.tolist()), dtype=np.uint8), 7)})
+        return out
+
+    def removed(self, bit: np.ndarray) -> np.ndarray:
+        """Which bytes go, given one bit per window sent."""
+        n, ends = len(self.body), np.cumsum(self.sizes)
+        cover = np.zeros(n + 1, dtype=np.int32)
+        if len(self.start):
+            first = np.empty(len(self.order), dtype=np.int64)
+            first[self.order] = np.cumsum(self.windows[self.order]) - self.windows[self.order]
+            nth = np.arange(int(self.count.sum())) - np.repeat(np.cumsum(self.count) - self.count, self.count)
+            gone = bit[np.repeat(first[self.piece], self.count) + nth] | np.repeat(self.ids[self.doc] > self.owner[self.piece], self.count)
+            where = (np.repeat(self.start, self.count) + nth)[gone]
+            cover += np.bincount(where, minlength=n + 1).astype(np.int32)
+            cover -= np.bincount(where + LENGTH, minlength=n + 1).astype(np.int32)
+        np.add.at(cover, (ends - self.sizes)[self.is_copy], 1)
+        np.add.at(cover, ends[self.is_copy], -1)
+        return np.cumsum(cover)[:n] > 0
+
+
+def sent_runs(table: DataFrame, shared: DataFrame, cells: int, bits: int) -> DataFrame:
+    """Rows with the different runs of each block and cell."""
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist(Block(left.to_pylist()[0], right.to_pylist(), cells, bits).sent() if left.num_rows else [], _SENT_SCHEMA)
+
+    return table.select("block", "ids", "sizes", "body").groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(one, _SENT)
 
-    sent = table.filter("is_block").select("block", "ids", "sizes", "body").groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(one, _SENT)
-    return materialize(sent.withColumn("is_block", F.col("cell") < 0), "substring-runs", partition_by="is_block")
+
+_BITS = "block long, cell long, n long, bits binary"
 
 
 def judged_runs(sent: DataFrame, batch_bytes: int) -> DataFrame:
-    """(block, cell, bits): for each window sent, whether an equal one has a smaller owner."""
+    """(block, cell, n, bits): for each of the n windows sent, whether an equal one has a smaller owner."""
 
     def one(group: pa.Table) -> pa.Table:
-        rows = group.select(["block", "cell", "keys", "owners", "sizes", "body"]).to_pylist()
+        rows = group.to_pylist()
         rows.sort(key=lambda r: r["block"])
-        keys = [_unpack(r["keys"], np.uint64) for r in rows]
-        owners = [_unpack(r["owners"], np.int64) for r in rows]
-        windows = [_unpack(r["sizes"], np.int32).astype(np.int64) for r in rows]
+        subs = [_unpack(r["subs"], np.uint8) for r in rows]
+        owners = [_unpack(r["ids"], np.int64)[_large(r["owners"])] for r in rows]
         seen: dict[bytes, int] = {}
         piece = []
-        for r, w in zip(rows, windows, strict=True):
-            data = _unpack(r["body"], np.uint8).tobytes()
+        for r in rows:
+            data, w = _unpack(r["body"], np.uint8).tobytes(), _large(r["sizes"])
             ends = np.cumsum(w + LENGTH - 1)
             piece += [seen.setdefault(data[a:b], len(seen)) for a, b in zip((ends - w - LENGTH + 1).tolist(), ends.tolist(), strict=True)]
-        of, key, owner = np.array(piece, dtype=np.int64), np.concatenate(keys), np.concatenate(owners)
+        of, sub, owner = np.array(piece, dtype=np.int64), np.concatenate(subs), np.concatenate(owners)
         pieces = list(seen)
         least = np.full(len(pieces), NO_ID, dtype=np.int64)
         np.minimum.at(least, of, owner)
-        own_key = np.zeros(len(pieces), dtype=np.uint64)
-        own_key[of] = key
-        # equal windows have one key: batches of whole keys, of bounded bytes
-        by = np.argsort(own_key, kind="stable")
+        own_sub = np.zeros(len(pieces), dtype=np.uint8)
+        own_sub[of] = sub
+        # equal windows have one key: batches of whole parts, of bounded bytes
+        by = np.argsort(own_sub, kind="stable")
         sizes = np.array([len(p) for p in pieces], dtype=np.int64)[by]
+        total = np.append(0, np.cumsum(sizes))
         cut = [0]
-        total = np.cumsum(sizes)
-        same = np.concatenate([[False], own_key[by][1:] == own_key[by][:-1]])
-        for i in np.flatnonzero(~same).tolist():
-            if total[i] - (total[cut[-1] - 1] if cut[-1] else 0) > batch_bytes and i > cut[-1]:
-                cut.append(i)
+        for a, b in zip(edges := [0, *(np.flatnonzero(np.diff(own_sub[by])) + 1).tolist()], [*edges[1:], len(by)], strict=True):
+            if total[b] - total[cut[-1]] > batch_bytes and a > cut[-1]:
+                cut.append(a)
         cut.append(len(by))
         found: list[np.ndarray | None] = [None] * len(pieces)
         for a, b in zip(cut[:-1], cut[1:], strict=True):
@@ -371,49 +454,25 @@ def judged_runs(sent: DataFrame, batch_bytes: int) -> DataFrame:
                 found[i] = x
         out, at = [], 0
         for r, o in zip(rows, owners, strict=True):
-            n = len(o)
-            got = [found[i] for i in of[at : at + n].tolist()]
-            bits = np.concatenate(got) < np.repeat(o, [len(x) for x in got])
-            out.append({"block": r["block"], "cell": r["cell"], "bits": np.packbits(bits).tobytes()})
-            at += n
-        return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("cell", pa.int64()), ("bits", pa.binary())]))
+            got = [found[i] for i in of[at : at + len(o)].tolist()]
+            bit = np.concatenate(got) < np.repeat(o, [len(x) for x in got])
+            out.append({"block": r["block"], "cell": r["cell"], "n": len(bit), "bits": _pack(np.packbits(bit))})
+            at += len(o)
+        return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("cell", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())]))
 
-    return sent.filter("NOT is_block").select("block", "cell", "keys", "owners", "sizes", "body").groupBy("cell").applyInArrow(one, "block long, cell long, bits binary")
+    return sent.groupBy("cell").applyInArrow(one, _BITS)
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>"
 
 
-def _apply(rows: list[dict]) -> pa.Table:
+def _apply(row: dict, told: list[dict], cells: int, bits: int) -> pa.Table:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))])
-    held = next((r for r in rows if r["kind"] == 0), None)
-    if held is None:
-        return schema.empty_table()
-    ids, sizes, body = _unpack(held["ids"], np.int64), _unpack(held["sizes"], np.int64), _unpack(held["body"], np.uint8)
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    cover = np.zeros(len(body) + 1, dtype=np.int64)
-    index = next((r for r in rows if r["kind"] == 1), None)
-    if index is not None:
-        start, count = np.cumsum(_unpack(index["ids"], np.int32).astype(np.int64)), _unpack(index["body"], np.int32).astype(np.int64)
-        owner, windows, place = _unpack(index["owners"], np.int64), _unpack(index["sizes"], np.int32).astype(np.int64), _unpack(index["places"], np.int32).astype(np.int64)
-        replies = sorted((r for r in rows if r["kind"] == 2), key=lambda r: r["cell"])
-        if len(start):
-            # windows of the pieces stand cell by cell, as they were sent; the replies fill whole bytes
-            bits = []
-            for r in replies:
-                n = r["n"]
-                bits.append(np.unpackbits(np.frombuffer(r["body"], dtype=np.uint8))[:n].astype(bool))
-            bit = np.concatenate(bits)
-            first = np.cumsum(windows) - windows
-            doc = np.searchsorted(ends, start, side="right")
-            nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            later = np.repeat(ids[doc] > owner[place], count)
-            gone = (bit[np.repeat(first[place], count) + nth] | later).nonzero()[0]
-            where = (np.repeat(start, count) + nth)[gone]
-            cover[: len(body)] += np.bincount(where, minlength=len(body))[: len(body)]
-            cover -= np.bincount(where + LENGTH, minlength=len(body) + 1)
-    covered = np.cumsum(cover)[: len(body)] > 0
+    block = Block(row, [r for r in told if r["bits"] is None], cells, bits)
+    replies = sorted((r for r in told if r["bits"] is not None), key=lambda r: r["cell"])
+    covered = block.removed(np.concatenate([np.zeros(0, dtype=bool), *(np.unpackbits(_unpack(r["bits"], np.uint8))[: r["n"]].astype(bool) for r in replies)]))
+    ids, body, ends = block.ids, block.body, np.cumsum(block.sizes)
+    starts = ends - block.sizes
     bounds = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0))
     out = []
     whole = body.tobytes()
@@ -430,31 +489,31 @@ def _apply(rows: list[dict]) -> pa.Table:
     return pa.Table.from_pylist(out, schema)
 
 
-def remove_repeats(docs: DataFrame, block_bytes: int = 8 << 20, batch_bytes: int = 4 << 20, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
+def remove_repeats(docs: DataFrame, block_bytes: int = 8 << 20, batch_bytes: int = 1 << 20, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (of bytes, end exclusive) of every document.
 
     block_bytes: of text in a block.  batch_bytes: of text under one suffix array.  hot_blocks: marks in more
     blocks go window by window.
     """
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).head()[0] or 0
-    few, many = max(16, -(-total // (8 << 20))), max(64, -(-total // (2 << 20)))
-    table = blocks(docs, few, block_bytes)
-    shared = materialize(shared_marks(table, hot_blocks), "substring-shared")
-    sent = sent_runs(table, shared, many)
-    release(shared)
-    judged = materialize(judged_runs(sent, batch_bytes), "substring-bits")
-    counts = sent.filter("NOT is_block").select("block", "cell", "sizes")
-    nothing = F.lit(None).cast("binary")
-    rows = (
-        table.filter("is_block").select("block", F.lit(0).alias("kind"), "cell", "ids", "sizes", "body", nothing.alias("owners"), nothing.alias("places"))
-        .unionByName(sent.filter("is_block").select("block", F.lit(1).alias("kind"), "cell", F.col("keys").alias("ids"), "sizes", "body", "owners", "places"))
-        .unionByName(judged.select("block", F.lit(2).alias("kind"), "cell", nothing.alias("ids"), nothing.alias("sizes"), F.col("bits").alias("body"), nothing.alias("owners"), nothing.alias("places")))
-        .unionByName(counts.select("block", F.lit(3).alias("kind"), "cell", nothing.alias("ids"), "sizes", nothing.alias("body"), nothing.alias("owners"), nothing.alias("places")))
-    )
+    if not total and docs.isEmpty():
+        kinds = [c.split() for c in _RESULT.split(", ")]
+        return docs.limit(0).select(F.col("doc_id").cast("long").alias("doc_id"), *[F.lit(None).cast(t).alias(n) for n, t in kinds[1:]])
+    few, many = max(16, -(-total // (8 << 20))), max(64, -(-total // (4 << 20)))
+    bits = min(64, max(40, (total // 16).bit_length() + 14))  # a mark meets another by chance in one of 2^14
+    table = blocks(docs, few, block_bytes, bits)
+    shared = materialize(shared_marks(table, few, bits, hot_blocks), "substring-shared")
+    delete(docs.sparkSession, f"{table._scratch_path}/is_block=false")
+    table = _only_blocks(table)
+    judged = materialize(judged_runs(sent_runs(table, shared, many, bits), batch_bytes), "substring-bits")
+    told = shared.withColumns({"cell": F.lit(None).cast("long"), "n": F.lit(None).cast("long"), "bits": F.lit(None).cast("binary")}).unionByName(judged, allowMissingColumns=True)
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _apply(left.to_pylist()[0], right.to_pylist(), many, bits)
+
+    return table.select("block", "ids", "sizes", "body").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(one, _RESULT)
 
-    def one(group: pa.Table) -> pa.Table:
-        got = group.to_pylist()
-        n = {r["cell"]: int(_unpack(r["sizes"], np.int32).sum()) for r in got if r["kind"] == 3}
-        return _apply([r | {"n": n.get(r["cell"], 0)} for r in got if r["kind"] != 3])
 
-    return rows.groupBy("block").applyInArrow(one, _RESULT)
+def _only_blocks(table: DataFrame) -> DataFrame:
+    """The rows of whole blocks, once the others' files are gone."""
+    return table.sparkSession.read.schema(table.drop("is_block").schema).parquet(f"{table._scratch_path}/is_block=true")
