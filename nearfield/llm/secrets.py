@@ -37,11 +37,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_ASSIGNED = 12
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-#: Base64 runs, line breaks allowed inside, as in armoured keys.
-B64 = re.compile(r"(?:[A-Za-z0-9+/]{24,}(?:\r?\n(?=[A-Za-z0-9+/]))?)+={0,2}")
+#: Base64 that can begin a key (0x30, the start of the magic, or a field of under 256 bytes), and one line of it.
+B64_START = re.compile(r"[MbA](?<![A-Za-z0-9+/].)(?:(?<=M)[A-P][A-Za-z0-9+/]{2}|(?<=b)3Bl|(?<=A)AAA)[A-Za-z0-9+/]{20,}")
+B64_LINE = re.compile(r"[A-Za-z0-9+/]+")
+NEXT_LINE = re.compile(r"\r?\n(?=[A-Za-z0-9+/])")
+MIN_B64 = 24
 LONG_HEX = re.compile(r"(?i)(?:30|60)[0-9a-f]{30,}")
 SSH_MAGIC = b"openssh-key-v1\0"
 SSH_NAMES = (b"ssh-", b"ecdsa-", b"sk-")
+SSH_HEADS = (b"open", b"\0\0\0\x07", b"\0\0\0\x0b", b"\0\0\0\x13", b"\0\0\0\x1a", b"\0\0\0\x22")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -80,6 +84,19 @@ def der_fills(data: bytes, depth: int = 0, most: int = 32) -> tuple[bool, set[in
     return True, tags
 
 
+def element_end(data: bytes, at: int) -> int | None:
+    """Where the ASN.1 element at ``at`` ends by its length, or None: malformed or cut within the length."""
+    n = data[at + 1] & 0x7F if at + 1 < len(data) and data[at + 1] & 0x80 else 0
+    if at + 2 + n > len(data) or n > 4 or data[at + 1] == 0x80:
+        return None
+    return at + 2 + n + int.from_bytes(data[at + 2 : at + 2 + n], "big") if n else at + 2 + data[at + 1]
+
+
+def field_end(data: bytes, at: int) -> int | None:
+    """Where the length-prefixed field at ``at`` ends, or None: cut within the length."""
+    return at + 4 + int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else None
+
+
 def is_der_key(data: bytes) -> bool:
     if len(data) < 16 or data[0] != 0x30:
         return False
@@ -88,14 +105,7 @@ def is_der_key(data: bytes) -> bool:
 
 
 def is_ssh_key(data: bytes) -> bool:
-    if data.startswith(SSH_MAGIC):
-        at, fields = len(SSH_MAGIC), 0
-        while at + 4 <= len(data) and fields < 3:  # cipher, kdf, options
-            size = int.from_bytes(data[at : at + 4], "big")
-            at, fields = at + 4 + size, fields + 1
-            if at > len(data):
-                return False
-        return fields == 3
+    """Whether length-prefixed fields fill ``data`` exactly and begin with the name of a key type."""
     at, first = 0, b""
     while at < len(data):
         size = int.from_bytes(data[at : at + 4], "big")
@@ -116,6 +126,90 @@ def decode64(s: str, url: bool = False) -> bytes | None:
         return None
 
 
+class Wrapped:
+    """Base64 lines from a start, read as far as asked; the first has 24 characters or more, the others any number."""
+
+    def __init__(self, text: str, start: int):
+        self.text, self.left, self.data = text, "", bytearray()
+        self.ends: dict[int, int] = {}  # by bytes: where the text of the line ends
+        self.lines: list[tuple[int, int]] = []  # (characters, end of the text) of each line
+        self.next: int | None = start
+
+    def read(self) -> bool:
+        """One more line; characters beyond groups of four give what bytes they hold until more follow."""
+        if self.next is None:
+            return False
+        line = B64_LINE.match(self.text, self.next)
+        if len(self.left) > 1:
+            del self.data[1 - len(self.left) :]
+        chars = self.left + line[0]
+        self.left = chars[len(chars) // 4 * 4 :]
+        self.data += base64.b64decode(chars + "=" * (-len(chars) % 4) if len(self.left) != 1 else chars[:-1])
+        self.lines.append((len(line[0]), line.end()))
+        if len(self.left) != 1:
+            self.ends[len(self.data)] = line.end()
+        more = NEXT_LINE.match(self.text, line.end())
+        self.next = more.end() if more else None
+        return True
+
+    def upto(self, size: int) -> bytearray:
+        """The bytes read once there are ``size`` of them, or all."""
+        while len(self.data) < size and self.read():
+            pass
+        return self.data
+
+    def padded(self, end: int, size: int) -> int:
+        """The end with padding; on a line of its own only what ``size`` bytes need."""
+        need, had = -size % 3, 0
+        while had < 2 and self.text[end + had : end + had + 1] == "=":
+            had += 1
+        if had < need:
+            rest = re.compile(rf"\r?\n={{{need - had}}}(?![=A-Za-z0-9+/])").match(self.text, end + had)
+            return rest.end() if rest else end + had
+        return end + had
+
+
+def der_span(run: Wrapped) -> int | None:
+    """The end of the text of an ASN.1 key that ends where a line does."""
+    at = 0
+    while (end := element_end(run.upto(at + 6), at)) is not None and end <= len(data := run.upto(end)):
+        if end in run.ends and is_der_key(bytes(data[:end])):
+            return run.padded(run.ends[end], end)
+        at = end
+    return None
+
+
+def ssh_span(run: Wrapped) -> int | None:
+    """The end of the text of a key of length-prefixed fields that end where a line does.
+
+    A private key file whose fields after the first three do not parse is taken by its lines: those of the
+    minimum or more and one shorter.
+    """
+    if not run.upto(len(SSH_MAGIC)).startswith(SSH_MAGIC):
+        at, last = 0, None
+        if not bytes(run.upto(10)[4:10]).startswith(SSH_NAMES):
+            return None
+        while (end := field_end(run.upto(at + 4), at)) is not None and end <= len(run.upto(end)):
+            last, at = (end if end in run.ends else last), end
+        return run.padded(run.ends[last], last) if last is not None and is_ssh_key(bytes(run.data[:last])) else None
+    at, left = len(SSH_MAGIC), 3  # cipher, kdf, options; then a count, so many public keys and the private part
+    while left and (end := field_end(run.upto(at + 4), at)) is not None and end <= len(run.upto(end)):
+        at, left = end, left - 1
+    if left:
+        return None
+    head = run.upto(at + 4)
+    left = 1 + int.from_bytes(head[at : at + 4], "big")
+    at += 4
+    while left and (end := field_end(run.upto(at + 4), at)) is not None and end <= len(run.upto(end)):
+        at, left = end, left - 1
+    if not left and at in run.ends:
+        return run.padded(run.ends[at], at)
+    i, chars = 0, run.lines[0][0]
+    while run.lines[i][0] >= MIN_B64 and (i + 1 < len(run.lines) or run.read()):
+        i, chars = i + 1, chars + run.lines[i + 1][0]
+    return run.padded(run.lines[i][1], chars * 3 // 4)
+
+
 def is_signed_token(s: str) -> bool:
     """Whether the header of a signed token parses: an object with ``alg``; and its claims: an object."""
     try:
@@ -130,12 +224,17 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     if "eyJ" in text:
         out += [("jwt", *m.span()) for m in JWT.finditer(text) if is_signed_token(m[0])]
-    for m in B64.finditer(text):
-        data = decode64(m[0])
-        if data is not None and data[:1] == b"\x30" and is_der_key(data):
-            out.append(("der", *m.span()))
-        elif data is not None and data[:4] in (b"open", b"\0\0\0\x07", b"\0\0\0\x0b", b"\0\0\0\x13", b"\0\0\0\x1a", b"\0\0\0\x22") and is_ssh_key(data):
-            out.append(("ssh", *m.span()))
+    at = 0
+    while m := B64_START.search(text, at):
+        run, kind, end = Wrapped(text, m.start()), "der", None
+        head = base64.b64decode(text[m.start() : m.start() + 8])
+        if head[:1] == b"\x30":
+            end = der_span(run)
+        elif head[:4] in SSH_HEADS:
+            kind, end = "ssh", ssh_span(run)
+        if end is not None:
+            out.append((kind, m.start(), end))
+        at = m.end() if end is None else end
     for m in LONG_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
             out.append(("der", *m.span()))

@@ -175,6 +175,46 @@ def test_structures_are_confirmed():
     assert kinds(broken) == [] and kinds(token.replace("eyJh", "eyJx")) == [] and kinds("A" * 5000) == []
 
 
+def wrapped(data, columns, brk="\n"):
+    import base64
+
+    b64 = base64.b64encode(data).decode()
+    return brk.join(b64[i : i + columns] for i in range(0, len(b64), columns))
+
+
+def ssh_private(size):
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    return secrets.SSH_MAGIC + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"p" * 51) + field(b"k" * size)
+
+
+@pytest.mark.parametrize("columns", [64, 70, 76])
+@pytest.mark.parametrize("brk", ["\n", "\r\n"])
+def test_wrapped_keys_with_any_last_line(columns, brk):
+    last = set()
+    for size in range(300, 420):
+        for kind, data in (("der", der(0x30, der(0x02, b"\0"), der(0x30, der(0x06, b"\x2a\x86\x48")), der(0x04, bytes(i % 251 for i in range(size))))), ("ssh", ssh_private(size))):
+            key = wrapped(data, columns, brk)
+            last.add(len(key.rpartition("\n")[2].rstrip("=")))
+            start = len("-----BEGIN-----" + brk)
+            for after in ("-----END-----", "", "word", "word\nand another of more than twenty characters"):
+                assert secrets.confirmed_spans(f"-----BEGIN-----{brk}{key}{brk}{after}") == [(kind, start, start + len(key))], (size, kind, after)
+            # lines before a key, and a second key
+            assert secrets.confirmed_spans(f"{'x' * 30}\nab\n{key}{brk}{key}") == [(kind, 34, 34 + len(key)), (kind, 34 + len(key + brk), 34 + len(key + brk + key))]
+    assert last >= {n for n in range(1, columns + 1) if columns % 4 or n % 4 != 1}
+
+
+def test_wrapped_keys_of_the_usual_sizes():
+    for size in (241, 294, 634, 1190, 1216, 1217, 1218):
+        rest = size - 4 - 3 - 4
+        data = der(0x30, der(0x02, b"\0"), der(0x04, bytes(rest)))
+        assert len(data) == size or size < 300
+        key = wrapped(data, 64)
+        assert secrets.confirmed_spans(f"{key}\n-----END") == [("der", 0, len(key))]
+    cut = wrapped(ssh_private(400), 70)[:-100]
+    assert secrets.confirmed_spans(cut) == [("ssh", 0, len(cut))]
+    assert secrets.confirmed_spans(wrapped(der(0x30, der(0x02, b"\0"), der(0x04, bytes(300))), 64)[:-9]) == []
+
+
 # ---- 4 repeated substrings ---------------------------------------------------------------------------
 
 
