@@ -6,8 +6,8 @@ blocked seeds (hosts with pages that a rule blocks): trust follows links, distru
 link.  A host whose distrust exceeds ``ratio`` times its trust is blocked, any other allowed.  All steps are
 DataFrame functions.
 
-Scores are whole numbers (a total of ``MASS``, shares in ``PARTS``), so that sums do not depend on the order
-of rows and a retried task gives the same scores.  Both walks run as one join and one aggregation per step,
+Scores are whole numbers (a total of ``FINE_MASS``; a link passes score * n / out, rounded down once), so that
+sums do not depend on the order of rows and a retried task gives the same scores.  Both walks run as one join and one aggregation per step,
 keyed by (walk, host); host edges are aggregated before they shuffle, so a host with a third of the pages
 adds one partial row per task and pair.  Mass on a host without links is dropped.
 
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import ascii_lower, materialize
 
-MASS, PARTS = 10**12, 10**6
+#: Total score, and parts of a share, of walks with rounded shares; total score of those with exact ones.
+MASS, PARTS, FINE_MASS = 10**12, 10**6, 10**18
 #: More rules than this belong in a table that is joined, not in an expression.
 MAX_RULES = 1000
 
@@ -56,17 +57,27 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select(F.col("host").alias("src"), F.when(absolute == "", F.col("host")).otherwise(ascii_lower(absolute)).alias("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, steps: int, keep_percent: int) -> DataFrame:
-    """(walk, host, score) after ``steps`` steps; seeds: (walk, host, n), walk ``trust`` or ``distrust``."""
+def propagate(edges: DataFrame, seeds: DataFrame, steps: int, keep_percent: int, parts: int | None = PARTS) -> DataFrame:
+    """(walk, host, score) after ``steps`` steps; seeds: (walk, host, n), walk ``trust`` or ``distrust``.
+
+    parts: shares of links are rounded down to so many parts of a total of ``MASS``, so that a link with less
+    than one part passes nothing; None: shares are exact, of a total of ``FINE_MASS``.
+    """
     both = edges.select(F.lit("trust").alias("walk"), F.col("src").alias("host"), F.col("dst").alias("to"), "n").unionByName(edges.select(F.lit("distrust").alias("walk"), F.col("dst").alias("host"), F.col("src").alias("to"), "n"))
     out = both.groupBy("walk", "host").agg(F.sum("n").alias("out"))
-    shares = materialize(both.join(out, ["walk", "host"]).select("walk", "host", "to", F.floor(PARTS * (F.col("n") / F.col("out"))).cast("long").alias("share")), "url-shares")
     totals = seeds.groupBy("walk").agg(F.sum("n").alias("total"))
-    start = materialize(seeds.join(totals, "walk").select("walk", "host", F.floor(F.lit(float(MASS)) * (F.col("n") / F.col("total"))).cast("long").alias("seed")), "url-seeds")
-    base = start.select("walk", "host", F.expr(f"seed * {100 - keep_percent} div 100").alias("score"))
+    if parts:
+        share, seed = [F.floor(parts * (F.col("n") / F.col("out"))).cast("long").alias("share")], F.floor(F.lit(float(MASS)) * (F.col("n") / F.col("total"))).cast("long")
+        first, passed = f"seed * {100 - keep_percent} div 100", f"(score * share div {parts}) * {keep_percent} div 100"
+    else:  # products of up to 38 digits
+        share, seed = ["n", "out"], F.expr(f"cast(n AS decimal(19, 0)) * cast({FINE_MASS} AS decimal(19, 0)) div total")
+        first, passed = f"cast(seed AS decimal(19, 0)) * {100 - keep_percent} div 100", f"cast(score AS decimal(19, 0)) * cast(n * {keep_percent} AS decimal(18, 0)) div (cast(out AS decimal(18, 0)) * 100)"
+    shares = materialize(both.join(out, ["walk", "host"]).select("walk", "host", "to", *share), "url-shares")
+    start = materialize(seeds.join(totals, "walk").select("walk", "host", seed.alias("seed")), "url-seeds")
+    base = start.select("walk", "host", F.expr(first).alias("score"))
     scores = start.select("walk", "host", F.col("seed").alias("score"))
     for i in range(steps):
-        moved = scores.join(shares, ["walk", "host"]).select("walk", F.col("to").alias("host"), F.expr(f"(score * share div {PARTS}) * {keep_percent} div 100").alias("score"))
+        moved = scores.join(shares, ["walk", "host"]).select("walk", F.col("to").alias("host"), F.expr(passed).alias("score"))
         scores = moved.unionByName(base).groupBy("walk", "host").agg(F.sum("score").alias("score"))
         if i % 3 == 2:
             scores = materialize(scores, f"url-scores-{i}")
@@ -84,7 +95,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], steps: int = 6, keep_p
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
     seeds = ruled.filter("ruled IS NOT NULL").groupBy(F.when(F.col("ruled") == "allow", "trust").otherwise("distrust").alias("walk"), "host").agg(F.count(F.lit(1)).alias("n"))
-    scores = propagate(materialize(host_edges(rows), "url-edges"), seeds, steps, keep_percent)
+    scores = propagate(materialize(host_edges(rows), "url-edges"), seeds, steps, keep_percent, parts=None)
     by_host = scores.groupBy("host").agg(F.sum(F.when(F.col("walk") == "trust", F.col("score")).otherwise(0)).alias("trust"), F.sum(F.when(F.col("walk") == "distrust", F.col("score")).otherwise(0)).alias("distrust"))
-    blocked = by_host.filter(F.col("distrust") > F.col("trust") * ratio).select("host", F.lit(True).alias("bad"))
+    blocked = by_host.filter(F.col("distrust") > F.col("trust").cast("decimal(19,0)") * ratio).select("host", F.lit(True).alias("bad"))
     return ruled.join(blocked, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))

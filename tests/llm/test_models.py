@@ -70,6 +70,30 @@ def test_walks_against_plain_numbers(spark):
     assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
 
 
+def test_a_link_among_a_million_passes_score(spark):
+    own = "<a href=/>" * 1_000_001
+    rows = [(1, "http://x.com/en/1", own), (2, "http://linker.test/", "<a href=http://x.com/>"), (3, "http://other.test/", "<a href=/>")]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), queries.URL_RULES, steps=6).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow"}
+
+
+def test_exact_walks_against_fractions(spark):
+    from fractions import Fraction
+
+    edges = {("a", "b"): 3 * 10**10, ("a", "c"): 1, ("b", "c"): 2, ("c", "a"): 5, ("c", "c"): 10**9, ("d", "d"): 1}
+    seeds = {"a": 1, "d": 2 * 10**9}
+    df = spark.createDataFrame([(*k, n) for k, n in edges.items()], "src string, dst string, n long")
+    got = {r.host: r.score for r in url_filter.propagate(df, spark.createDataFrame([("trust", h, n) for h, n in seeds.items()], "walk string, host string, n long"), 5, 85, parts=None).collect()}
+    start = {h: Fraction(n, sum(seeds.values())) for h, n in seeds.items()}
+    score = dict(start)
+    for _ in range(5):
+        new = defaultdict(Fraction, {h: s * 15 / 100 for h, s in start.items()})
+        for (a, b), n in edges.items():
+            new[b] += score.get(a, 0) * n * 85 / sum(m for (x, _), m in edges.items() if x == a) / 100
+        score = new
+    assert set(got) == set(score) and all(abs(got[h] - s * url_filter.FINE_MASS) < 50 for h, s in score.items())
+
+
 # ---- 7 quality ---------------------------------------------------------------------------------------
 
 
