@@ -2,7 +2,7 @@
 
 Each task reads documents into shards of bounded tokens and builds a BM25 inverted index of each shard over
 its token ids.  The first unused document of the shard seeds a window; the index returns its unused
-neighbours by score, and they fill the window greedily: those that fit whole in the order of their scores,
+neighbours by their score for all terms of the seed, and they fill the window greedily: those that fit whole in the order of their scores,
 then the best that did not fit is cut, and what is left of it stays for another window.  Documents of a
 window or more give full windows first, and only their rest is packed.  So all sequences are full but the
 last of a shard.  Documents are not shuffled; a shard never leaves its task.
@@ -158,7 +158,7 @@ class WordTokenizer:
 class Bm25:
     """Inverted index of a shard: for each term its documents and their BM25 weights."""
 
-    def __init__(self, docs: list[np.ndarray], query_terms: int):
+    def __init__(self, docs: list[np.ndarray], query_terms: int | None = None):
         n = len(docs)
         sizes = np.array([len(d) for d in docs], dtype=np.int64)
         term = np.concatenate(docs).astype(np.int64)
@@ -178,15 +178,15 @@ class Bm25:
         self.n, self.query_terms = n, query_terms
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents with a score for the seed's heaviest terms, best first, ties by order."""
-        terms = self.terms[self.of_doc[seed] : min(self.of_doc[seed + 1], self.of_doc[seed] + self.query_terms)]
+        """Unused documents with a score for the seed's terms (all, or the heaviest), best first, ties by order."""
+        terms = np.sort(self.terms[self.of_doc[seed] : self.of_doc[seed + 1]][: self.query_terms])
         spans = [slice(self.first[t], self.first[t + 1]) for t in terms]
         score = np.bincount(np.concatenate([self.doc[s] for s in spans]), weights=np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
         found = np.flatnonzero((score > 0) & unused)
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack_shard(docs: list[np.ndarray], window: int, query_terms: int) -> list[list[tuple[int, int, int]]]:
+def pack_shard(docs: list[np.ndarray], window: int, query_terms: int | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (document, start, length); all but the last are full."""
     out = []
     begin, left = np.zeros(len(docs), dtype=np.int64), np.array([len(d) for d in docs], dtype=np.int64)
@@ -212,17 +212,18 @@ def pack_shard(docs: list[np.ndarray], window: int, query_terms: int) -> list[li
             if candidates is None:  # nothing alike is left: the next unused in order
                 rest = np.flatnonzero(unused)
                 candidates = rest[: window + 1]
-            for i in candidates.tolist():
-                if not unused[i]:
-                    continue
-                if left[i] <= room:
-                    unused[i] = False
-                    pieces.append((i, int(begin[i]), int(left[i])))
-                    room -= int(left[i])
-                    if not room:
-                        break
-                elif first_cut is None:
-                    first_cut = i
+            at, sizes = 0, left[candidates]
+            while room and at < len(candidates):
+                skip = int((sizes[at:] <= room).argmax())
+                none_fits = sizes[at + skip] > room
+                if first_cut is None and (skip or none_fits):
+                    first_cut = int(candidates[at])
+                if none_fits:
+                    break
+                i = int(candidates[at + skip])
+                unused[i] = False
+                pieces.append((i, int(begin[i]), int(left[i])))
+                room, at = room - int(left[i]), at + skip + 1
             if room and first_cut is not None:
                 pieces.append((first_cut, int(begin[first_cut]), room))
                 begin[first_cut] += room
@@ -231,11 +232,11 @@ def pack_shard(docs: list[np.ndarray], window: int, query_terms: int) -> list[li
         out.append(pieces)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 2048, end_id: int = 1, shard_tokens: int = 3 << 19, query_terms: int = 24) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 2048, end_id: int = 1, shard_tokens: int = 3 << 19, query_terms: int | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece.
 
     tokenizer: path of the vocabulary file (on every machine).  shard_tokens: of one index.  query_terms: of a
-    seed, its heaviest by BM25, that ask for neighbours.
+    seed, its heaviest by BM25, that ask for neighbours; None: all.
     """
     import pyarrow as pa
     from pyspark import TaskContext

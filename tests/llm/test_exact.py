@@ -418,6 +418,33 @@ def test_neighbours_share_words_with_the_seed():
     assert [p[0] for p in seqs[0]] == [0, 2] and sum(n for s in seqs for _, _, n in s) == 13 and all(sum(n for _, _, n in s) == 7 for s in seqs[:-1])
 
 
+def slow_bm25(docs, seed):
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    score = np.zeros(n)
+    for t in set(docs[seed].tolist()):
+        df = sum(t in d for d in docs)
+        for i, d in enumerate(docs):
+            tf = int((d == t).sum())
+            score[i] += np.log1p((n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+    return score
+
+
+def test_all_terms_of_a_long_seed_score():
+    rng = np.random.default_rng(3)
+    docs = [rng.choice(400, size=int(k), p=1 / np.arange(1, 401) / (1 / np.arange(1, 401)).sum()).astype(np.int32) for k in rng.integers(80, 300, 60)]
+    index = packing.Bm25(docs)
+    for seed in range(0, 60, 7):
+        unused = np.ones(60, dtype=bool)
+        unused[seed] = False
+        got, score = index.neighbours(seed, unused), slow_bm25(docs, seed)
+        assert set(got.tolist()) == {i for i in range(60) if i != seed} and (np.diff(score[got]) < 1e-4).all()
+    # documents that share only light terms of a seed of 40 terms
+    docs = [np.arange(40, dtype=np.int32), np.array([99], dtype=np.int32), *[np.array([t, t + 100], dtype=np.int32) for t in range(30, 40)] * 3]
+    assert packing.Bm25(docs).neighbours(0, np.arange(len(docs)) > 0).tolist() == list(range(2, len(docs)))
+    seqs = packing.pack_shard(docs, 42)
+    assert [i for i, _, _ in seqs[0]] == [0, 2]
+
+
 # ---- 10 chat -----------------------------------------------------------------------------------------
 
 
