@@ -1,14 +1,16 @@
 """What the operators of this subpackage share: scratch tables in the shared folder, and small column helpers.
 
 Scratch tables live under the folder in ``spark.checkpoint.dir``, which the driver and all executors
-share, so that a lost executor costs only its running tasks.  A folder of our own is set only where the
-session has none (tests on one machine).
+share, so that a lost executor costs only its running tasks.  A session without that setting gets a folder of
+its own on one machine alone; on a cluster it is an error.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,24 +28,64 @@ def scratch_root(spark: SparkSession) -> str:
         existing = spark.sparkContext.getCheckpointDir()
         if existing:
             return existing
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="nearfield-checkpoint-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+#: Scratch folders made inside the innermost ``scratch_scope``.
+_MADE: list[list[str]] = []
 
 
-def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` once as a Parquet table in the shared folder and read it back: cuts lineage for good."""
+def scratch_path(spark: SparkSession, label: str) -> str:
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the scratch tables made inside, for steps whose result is written elsewhere before the end."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            delete(spark, path)
+
+
+@contextmanager
+def conf_of(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold inside alone."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def materialize(df: DataFrame, label: str, partition_by: str | None = None, keep: bool = False) -> DataFrame:
+    """Write ``df`` once as a Parquet table in the shared folder and read it back: cuts lineage for good.
+
+    keep: the table outlives the scratch scope that it is made in.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if keep and _MADE:
+        _MADE[-1].remove(path)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    # what the write shuffled goes with it: nothing reads it again
+    with conf_of(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -77,6 +119,20 @@ def literal_table(spark: SparkSession, schema: str, json_rows: str) -> DataFrame
     return spark.range(1).select(F.inline(F.from_json(F.lit(json_rows), f"array<struct<{schema}>>")))
 
 
+def give_back() -> None:
+    """Return freed memory of this Python worker to the machine: Spark keeps workers, the JVM beside them needs it."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_bytes(batch_column) -> list[bytes]:
     """UTF-8 bytes of each text of an Arrow column; null is empty."""
     import pyarrow as pa

@@ -16,18 +16,18 @@ columns are carried inside a struct, so their names cannot clash.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import delete, materialize, scratch_path
+from nearfield.llm.common import conf_of, delete, materialize, release, scratch_path
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    # only running tasks hold a store, however many partitions the state has
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     # else each store reserves some MB of disk beyond what it holds
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
@@ -41,18 +41,6 @@ FETCH_CONF = {
 }
 
 
-@contextmanager
-def _conf(spark: SparkSession, values: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def _order(keep: str) -> Column:
     return F.coalesce(F.col("doc_id"), F.lit(-(1 << 63) if keep == "max" else (1 << 63) - 1))
 
@@ -69,7 +57,7 @@ def keep_state(staged: DataFrame, keep: str, bytes_per_batch: int) -> DataFrame:
     spark = staged.sparkSession
     where = scratch_path(spark, "exact-state")
     pick = F.max_by if keep == "max" else F.min_by
-    with _conf(spark, STATE_CONF):
+    with conf_of(spark, STATE_CONF):
         rows = spark.readStream.schema(staged.schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(staged._scratch_path)
         kept = rows.select("digest", "row_id", "doc_id").groupBy("digest").agg(pick("row_id", _order(keep)).alias("locator"), F.count(F.lit(1)).alias("group_size"))
         query = kept.writeStream.outputMode("update").format("noop").option("checkpointLocation", where).trigger(availableNow=True).start()
@@ -85,26 +73,34 @@ def keep_state(staged: DataFrame, keep: str, bytes_per_batch: int) -> DataFrame:
 
 
 def colliding(staged: DataFrame, state: DataFrame) -> DataFrame:
-    """The digests under which a check of the full bytes against the located content fails (none, for SHA-256)."""
+    """The digests under which a check of the full bytes against the located content fails (none, for SHA-256); written once."""
     groups = state.filter("group_size > 1").select("digest", "locator")
-    with _conf(staged.sparkSession, FETCH_CONF):
+    with conf_of(staged.sparkSession, FETCH_CONF):
         hits = materialize(staged.select("row_id", "digest", F.coalesce("text", F.lit("")).alias("content")).join(groups, "digest"), "exact-hits")
     located = hits.filter("row_id = locator").select("digest", F.col("content").alias("located"))
-    return hits.filter("row_id <> locator").join(located, "digest").filter(F.col("content") != F.col("located")).select("digest")
+    # made distinct after it is written: an aggregation in the join's own stage would keep a hot digest in one task
+    out = materialize(hits.filter("row_id <> locator").join(located, "digest").filter(F.col("content") != F.col("located")).select("digest"), "exact-collisions")
+    release(hits)
+    return out.distinct()
 
 
-def deduplicate(docs: DataFrame, keep: str = "max", bytes_per_batch: int = 1 << 30, digest=F.unhex) -> tuple[DataFrame, DataFrame]:
+def batch_bytes(spark: SparkSession) -> int:
+    """Bytes of one micro-batch: sixteen input splits for each core, so that the number of batches does not grow with a cluster that grows with its tables."""
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return 16 * split * spark.sparkContext.defaultParallelism
+
+
+def deduplicate(docs: DataFrame, keep: str = "max", bytes_per_batch: int | None = None, digest=F.unhex) -> tuple[DataFrame, DataFrame]:
     """(judged, staged): row_id, doc_id, text_sha256, locator, keep_id, group_size, kept of each row; the staged table.
 
     keep: which doc_id of equal texts stays, ``max`` or ``min``.  bytes_per_batch: staged bytes that one
-    micro-batch reads.  digest: makes the state's key from the SHA-256 in hex; a weak one costs checks, but
+    micro-batch reads (None: by the cores of the cluster).  digest: makes the state's key from the SHA-256 in hex; a weak one costs checks, but
     never gives other results.
     """
     staged = stage(docs, digest)
-    state = keep_state(staged, keep, bytes_per_batch)
+    state = keep_state(staged, keep, bytes_per_batch or batch_bytes(docs.sparkSession))
     rows = staged.select("row_id", "doc_id", "text_sha256", "digest")
-    # made distinct after it is written: an aggregation in the join's own stage would keep a hot digest in one task
-    clash = materialize(colliding(staged, state), "exact-collisions").distinct()
+    clash = colliding(staged, state)
     judged = rows.join(state, "digest")
     if not clash.isEmpty():
         pick = F.max_by if keep == "max" else F.min_by

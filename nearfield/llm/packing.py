@@ -27,6 +27,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.llm.common import give_back
+
 #: Words whose lower case and parts are the same in every library.
 _PLAIN = re.compile("[\n\x21-\x7e\xa1-\xac\xae-įĲ-ſ]+")
 #: White space to Python that is none to the tokenizer.
@@ -73,9 +75,13 @@ class _Lists:
 
 
 class WordTokenizer:
-    """Ids of whole texts, encoding each different word once; holds up to ``most_words`` words."""
+    """Ids of whole texts, encoding each different word once.
+
+    It holds about ``most_words`` words and as many parts; beyond that it forgets all but those that the texts at
+    hand and earlier ones share, which are the frequent ones.
+    """
 
-    def __init__(self, path: str, most_words: int = 800_000):
+    def __init__(self, path: str, most_words: int = 240_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -93,14 +99,30 @@ class WordTokenizer:
                 self.is_end[i] = token.endswith(suffix)
             self.letters = {b: c for b, c in _byte_letters().items() if b != 0x20}
         self.most_words = most_words
-        self.clear()
-
-    def clear(self) -> None:
         self.words, self.word_ids = {}, _Lists()
         self.parts, self.part_ids = {}, _Lists()
 
+    @staticmethod
+    def _only(known: dict[str, int], lists: _Lists, keep: set[str]) -> tuple[dict[str, int], _Lists]:
+        """The lists of these words alone."""
+        kept = [w for w in known if w in keep]
+        at = np.fromiter(map(known.__getitem__, kept), dtype=np.int64, count=len(kept))
+        out = _Lists()
+        out.add(lists.gather(at), lists.sizes[at])
+        return dict(zip(kept, range(len(kept)), strict=True)), out
+
+    def rest(self, most_words: int = 20_000) -> None:
+        """Forget all words, if many, until the next task."""
+        if len(self.words) > most_words:
+            self.words, self.word_ids = {}, _Lists()
+            self.parts, self.part_ids = {}, _Lists()
+
     def _encode_parts(self, parts: list[str]) -> None:
         """Learn parts (runs that the tokenizer never merges across)."""
+        for i in range(0, len(parts), 1 << 14):
+            self._encode_some(parts[i : i + (1 << 14)])
+
+    def _encode_some(self, parts: list[str]) -> None:
         step = 2000
         joined = [" ".join(parts[i : i + step]).encode().decode("latin-1").translate(self.letters) for i in range(0, len(parts), step)]
         ids = np.array([i for e in self.bare.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], dtype=np.int32)
@@ -119,6 +141,8 @@ class WordTokenizer:
             whole = "\n".join(plain)
         if plain:
             flat = self.parts_of(whole.lower())
+            if len(self.parts) > self.most_words:
+                self.parts, self.part_ids = self._only(self.parts, self.part_ids, set(flat))
             unknown = list(set(flat).difference(self.parts, ("\n",)))
             if unknown:
                 self._encode_parts(unknown)
@@ -142,7 +166,7 @@ class WordTokenizer:
         words = [[] if i in odd else t.split() for i, t in enumerate(texts)]
         flat = [w for ws in words for w in ws]
         if len(self.words) > self.most_words:
-            self.clear()
+            self.words, self.word_ids = self._only(self.words, self.word_ids, set(flat))
         new = set(flat).difference(self.words)
         if new:
             self._learn(list(new))
@@ -165,12 +189,13 @@ class Bm25:
         width = int(term.max()) + 1
         key = term * n + np.repeat(np.arange(n), sizes)
         pairs, tf = np.unique(key.astype(np.int32) if width * n < 1 << 31 else key, return_counts=True)
-        self.term, self.doc = np.divmod(pairs, n)
+        # the types that bincount works with, so that no search converts them
+        self.term, self.doc = (x.astype(np.int64) for x in np.divmod(pairs, n))
         df = np.bincount(self.term, minlength=width)
         self.first = np.concatenate([[0], np.cumsum(df)])
         self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean()))
-        self.weight = (self.idf[self.term] * tf * (K1 + 1) / (tf + norm[self.doc])).astype(np.float32)
+        self.weight = (self.idf[self.term] * tf * (K1 + 1) / (tf + norm[self.doc])).astype(np.float32).astype(np.float64)
         # each document's terms, the heaviest first
         by_doc = np.lexsort((self.term, -self.weight, self.doc))
         self.terms = self.term[by_doc]
@@ -270,7 +295,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 2048, end_
             at = 0
             while at < len(doc_ids):  # some MB of text at a time
                 part, chars = [], 0
-                while at + len(part) < len(doc_ids) and chars < 4 << 20:
+                while at + len(part) < len(doc_ids) and chars < 1 << 20:
                     part.append(texts[at + len(part)].as_py() or "")
                     chars += len(part[-1])
                 for doc_id, ids in zip(doc_ids[at : at + len(part)], ids_of.encode(part), strict=True):
@@ -283,6 +308,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 2048, end_
                 at += len(part)
         if held:
             yield told()
+        del held, names_held
+        ids_of.rest()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 

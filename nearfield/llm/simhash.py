@@ -196,9 +196,10 @@ def links(distinct: DataFrame, pairwise: int = 1 << 15) -> DataFrame:
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list[list[np.ndarray]] = []  # parts of the group that may go on in the next batch
 
-        def told(cols: list[np.ndarray]) -> pa.RecordBatch:
+        def told(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+            cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
             got = np.array(group_links(cols[1], cols[0], cols[2], pairwise), dtype=np.uint64).reshape(-1, 2).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
 
@@ -206,15 +207,16 @@ def links(distinct: DataFrame, pairwise: int = 1 << 15) -> DataFrame:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if not len(cols[0]):
                 continue
-            if held is not None:
-                cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-            # the last group may go on in the next batch
-            same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
-            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if cut:
-                yield told([c[:cut] for c in cols])
-            held = [c[cut:] for c in cols]
-        if held is not None:
+            last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
+            cut = 0 if last.all() else int(np.flatnonzero(~last)[-1]) + 1
+            goes_on = held and held[-1][0][-1] == cols[0][-1] and held[-1][1][-1] == cols[1][-1]
+            if held and (cut or not goes_on):
+                yield told([*held, [c[:cut] for c in cols]])
+                held = []
+            elif cut:
+                yield told([[c[:cut] for c in cols]])
+            held.append([c[cut:] for c in cols])
+        if held:
             yield told(held)
 
     keyed = candidate_keys(distinct).repartition("code", "key").sortWithinPartitions("code", "key", "fp")
@@ -224,8 +226,11 @@ def links(distinct: DataFrame, pairwise: int = 1 << 15) -> DataFrame:
 # ---- components -------------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
-    """(node, root): the smallest node reachable, for each node with an edge (large-star, small-star)."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node reachable, for each node with an edge.
+
+    Large-star and small-star steps until nothing changes, which takes some log^2 of the largest component.
+    """
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -243,17 +248,13 @@ def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
     said = lambda t: tuple(t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
     before = said(now)
-    for _ in range(most_steps):
-        if not before[0]:
-            break
+    while before[0]:
         after = materialize(star(star(now, True), False), "stars")
         release(now)
         now, told = after, said(after)
         if told == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            break
         before = told
-    if before[0]:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
