@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from nearfield.llm import decontaminate, exact_dedup, packing, quality, simhash
-from nearfield.llm.common import materialize
+from nearfield.llm.common import materialize, release, scratch_scope
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +52,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences; every stage is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch_scope(spark):  # what the stage staged goes once its result is written
+            kept = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
+        if before is not None:
+            release(before)
+        docs = before = kept
     return STAGES[-1][1](spark, docs, sf_dir)
