@@ -83,8 +83,8 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None, keep
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    # what the write shuffled goes with it: nothing reads it again
-    with conf_of(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+    # what the write shuffled goes with it: nothing reads it again; few partitions need no sort before the write
+    with conf_of(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxConcurrentOutputFileWriters": "8"}):
         writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path

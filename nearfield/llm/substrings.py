@@ -8,14 +8,20 @@ doc_id.  The result is exact over all documents; matches never cross documents.
 2. Each window of 50 bytes has a mark: the least hash of the 32 substrings of 19 bytes in it.  The mark depends
    on the window's bytes alone, so equal windows have equal marks, and neighbours mostly share theirs: a run of
    windows with one mark is one record.  Marks that two blocks or two documents share survive; all others are
-   dropped here, 8 bytes each.
-3. For surviving marks each block sends the bytes of its runs, once per different run with the smallest doc_id,
-   to the task of the mark.  Marks in many blocks (a passage that a third of the documents share) are sent
-   window by window, keyed by the window's own bytes, so that no task grows with one passage.
-4. That task builds a suffix array over the different runs: it sorts only the suffixes that are smaller than
-   their successors, induces all others by scans over the buckets of first bytes, computes the common prefix of
-   neighbours, and so finds each group of equal windows and its smallest doc_id.  One bit per window goes back.
-5. Each block turns the bits into the removed spans of its documents.
+   dropped here, some bytes each.
+3. Equal runs are folded by digest (of 64 bits beside the mark's 40 or more): of each different run the smallest
+   doc_id is found, and every other document that has the run loses all of it.  So a passage that a third of the
+   documents share costs one small row per block.  What is left are the runs of first owners.
+4. First owners' runs whose mark has other runs too go, as bytes and once each, to the task of the mark.  It builds
+   a suffix array over them: it sorts only the suffixes that are smaller than their successors, induces all others
+   by scans over the buckets of first bytes, computes the common prefix of neighbours, and so finds each group of
+   equal windows and its smallest doc_id.  One bit per window goes back.  Where a mark has more than ``hot_runs``
+   different runs (the ends of a passage in very many contexts), they are split into windows that are dealt by
+   their own digest of 128 bits and folded like equal runs, so that no task grows with one passage.
+5. Each block turns the answers into the removed spans of its documents.
+
+Tasks talk in rows of a block and a cell (a range of hashes); a cell stands for 32 MB of text at any size, so its
+rows stay bounded, and a key that all blocks have adds some bytes per block to its cell.
 
 Defined results: a null text is empty; documents under 50 bytes lose nothing; rows with one doc_id never
 remove from each other, as neither id is smaller; a null doc_id is larger than any other; an empty table
@@ -32,12 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import NO_ID, delete, materialize, text_bytes
+from nearfield.llm.common import NO_ID, delete, give_back, materialize, release, text_bytes
 
 LENGTH, GRAM = 50, 19
 SPAN = LENGTH - GRAM + 1  # substrings of GRAM bytes in a window: 32
-#: Marks in more blocks than this are sent window by window.
-HOT_BLOCKS = 32
+#: Marks with more different runs than this are split into windows.
+HOT_RUNS = 1024
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -230,12 +236,83 @@ def _cell(keys: np.ndarray, cells: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
 
 
-_BLOCK = "block long, cell long, ids binary, sizes binary, body binary"
+#: All tables but the documents' blocks: rows of some kind for a block and a cell, with packed arrays.
+_PARTS = "kind int, block long, cell long, parts array<binary>"
+_PARTS_SCHEMA = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("cell", pa.int64()), ("parts", pa.list_(pa.binary()))])
+BODY, KEPT, ASKED, RULED, BITS = range(5)
+#: What a block is told of each of its different runs.
+ALONE, EARLIER, COMPARE, HOT = range(4)
+
+
+def _table(rows: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(rows, _PARTS_SCHEMA)
+
+
+def _small(a: np.ndarray) -> bytes:
+    """Numbers from 0 on, byte by byte."""
+    return _pack(a.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
+
+def _large(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(_unpack(b, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _flags(flag: np.ndarray) -> bytes:
+    return len(flag).to_bytes(8, "little") + _pack(np.packbits(flag))
+
+
+def _unflag(b: bytes) -> np.ndarray:
+    return np.unpackbits(_unpack(b[8:], np.uint8))[: int.from_bytes(b[:8], "little")].astype(bool)
+
+
+def _cuts(a: np.ndarray) -> list[np.ndarray]:
+    """Places of each stretch of equal numbers."""
+    return np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1) if len(a) else []
+
+
+def _wide(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of 16 bytes as two numbers each."""
+    both = np.ascontiguousarray(raw).view("<u8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+class Block:
+    """Documents in the order of their ids, with their texts one after the other."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, body: np.ndarray):
+        self.ids, self.sizes, self.body = ids, sizes, body
+        self.ends = np.cumsum(sizes)
+        self.whole = body.tobytes()
+
+    @classmethod
+    def read(cls, parts: list[bytes]) -> Block:
+        return cls(_unpack(parts[0], np.int64), _large(parts[1]), _unpack(parts[2], np.uint8))
+
+    def parts(self) -> list[bytes]:
+        return [_pack(self.ids), _small(self.sizes), _pack(self.body, 7)]
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, its number among the different digests, different digests) of texts that hold a window."""
+        doc = np.flatnonzero(self.sizes >= LENGTH)
+        starts = self.ends - self.sizes
+        raw = np.frombuffer(b"".join(hashlib.sha256(self.whole[a:b]).digest()[:16] for a, b in zip(starts[doc].tolist(), self.ends[doc].tolist(), strict=True)), dtype="S16")
+        own, of = np.unique(raw, return_inverse=True)
+        # by the number that deals them to cells
+        by = np.argsort(_wide(own)[0], kind="stable")
+        place = np.empty(len(by), dtype=np.int64)
+        place[by] = np.arange(len(by))
+        return doc, place[of], own[by]
+
+
+def _first_owner(number: np.ndarray, doc: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """The smallest doc_id of each number; documents are in the order of their ids."""
+    least = np.full(n, len(ids), dtype=np.int64)
+    np.minimum.at(least, number, doc)
+    return ids[least] if n else np.zeros(0, dtype=np.int64)
 
 
 def blocks(docs: DataFrame, cells: int, block_bytes: int, bits: int) -> DataFrame:
-    """Rows of three kinds: cell -1 holds a block's documents, the next ``cells`` its marks, the rest digests of its texts."""
-    names = [c.split()[0] for c in _BLOCK.split(", ")]
+    """Rows of each block: its documents; its marks by cell; digests of its texts with their first owners, in the next ``cells`` cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -247,23 +324,17 @@ def blocks(docs: DataFrame, cells: int, block_bytes: int, bits: int) -> DataFram
 
         def told() -> Iterator[pa.RecordBatch]:
             by = sorted(range(len(ids)), key=lambda i: (ids[i], len(texts[i])))
-            body = np.frombuffer(b"".join(texts[i] for i in by), dtype=np.uint8)
-            sizes = np.array([len(texts[i]) for i in by], dtype=np.int64)
-            yield pa.RecordBatch.from_pylist([{"block": block, "cell": -1, "ids": _pack(np.array([ids[i] for i in by], dtype=np.int64)), "sizes": _pack(sizes), "body": _pack(body, 7)}], schema)
-            own = np.unique(runs(body, sizes, bits)[2])
-            cell = _cell(own, cells)
-            cuts = np.flatnonzero(np.diff(cell)) + 1
-            rows = [{"block": block, "cell": int(c[0]), "body": _pack_marks(m, bits)} for c, m in zip(np.split(cell, cuts), np.split(own, cuts), strict=True) if len(m)]
-            if held_texts := [i for i in range(len(by)) if sizes[i] >= LENGTH]:
-                digest = np.frombuffer(b"".join(hashlib.sha256(texts[by[i]]).digest()[:16] for i in held_texts), dtype=np.uint64).reshape(-1, 2)
-                which, place = cells + (digest[:, 0] % np.uint64(cells)).astype(np.int64), np.array(held_texts)
-                for c in np.unique(which).tolist():
-                    some = which == c
-                    rows.append({"block": block, "cell": c, "ids": _pack(np.array([ids[by[i]] for i in place[some]], dtype=np.int64)), "sizes": _small(place[some]), "body": digest[some].tobytes()})
-            for i in range(0, len(rows), 4096):
-                yield pa.RecordBatch.from_pylist(rows[i : i + 4096], schema)
-
-        schema = pa.schema([(n, pa.int64() if n in ("block", "cell") else pa.binary()) for n in names])
+            own = Block(np.array([ids[i] for i in by], dtype=np.int64), np.array([len(texts[i]) for i in by], dtype=np.int64), np.frombuffer(b"".join(texts[i] for i in by), dtype=np.uint8))
+            yield from _table([{"kind": BODY, "block": block, "cell": -1, "parts": own.parts()}]).to_batches()
+            mark = np.unique(runs(own.body, own.sizes, bits)[2])
+            cell = _cell(mark, cells)
+            rows = [{"kind": ASKED, "block": block, "cell": int(cell[c[0]]), "parts": [_pack_marks(mark[c], bits)]} for c in _cuts(cell)]
+            doc, number, digest = own.digests()
+            if len(digest):
+                owner, cell = _first_owner(number, doc, own.ids, len(digest)), cells + _cell(_wide(digest)[0], cells)
+                rows += [{"kind": ASKED, "block": block, "cell": int(cell[c[0]]), "parts": [digest[c].tobytes(), _pack(owner[c])]} for c in _cuts(cell)]
+            yield from _table(rows).to_batches(max_chunksize=4096)
+
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True):
                 ids.append(NO_ID if doc_id is None else doc_id)
@@ -274,211 +345,293 @@ def blocks(docs: DataFrame, cells: int, block_bytes: int, bits: int) -> DataFram
                     block, ids, texts, held = block + 1, [], [], 0
         if ids:
             yield from told()
+        del ids, texts
+        give_back()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _BLOCK)
-    return materialize(rows.withColumn("is_block", F.col("cell") < 0), "substring-blocks", partition_by="is_block")
-
-
-_SHARED = "block long, shared binary, hot binary, copies binary"
-_SHARED_SCHEMA = pa.schema([(c.split()[0], pa.int64() if c.split()[1] == "long" else pa.binary()) for c in _SHARED.split(", ")])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _PARTS)
+    return materialize(rows, "substring-blocks", partition_by="kind")
 
 
-def _copies(rows: list[dict]) -> list[dict]:
-    """For each block, the places of documents whose whole text a smaller doc_id has too."""
-    ids = [_unpack(r["ids"], np.int64) for r in rows]
-    place = np.concatenate([_large(r["sizes"]) for r in rows])
-    block = np.repeat(np.array([r["block"] for r in rows], dtype=np.int64), [len(x) for x in ids])
-    digest, own = np.concatenate([np.frombuffer(r["body"], dtype=np.uint64).reshape(-1, 2) for r in rows]), np.concatenate(ids)
-    by = np.lexsort((own, digest[:, 1], digest[:, 0]))
-    digest, own, block, place = digest[by], own[by], block[by], place[by]
-    first = np.append(True, (digest[1:] != digest[:-1]).any(axis=1))
-    later = own > own[np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))]
-    return [{"block": b, "copies": _small(np.sort(place[later & (block == b)]))} for b in np.unique(block[later]).tolist()]
+def _kind(table: DataFrame, kind: int) -> DataFrame:
+    """The rows of one kind of a table written by kinds, from their own files."""
+    rows = table.sparkSession.read.schema(table.drop("kind").schema).parquet(f"{table._scratch_path}/kind={kind}")
+    return rows.select(F.lit(kind).cast("int").alias("kind"), "block", "cell", "parts")
 
 
-def shared_marks(table: DataFrame, cells: int, bits: int, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
-    """(block, shared, hot, copies): its marks that other blocks have too, hot ones apart; its copies of earlier texts."""
+def _groups(table: DataFrame, one) -> DataFrame:
+    """``one`` over the rows of each cell, in the order of blocks."""
 
-    def one(group: pa.Table) -> pa.Table:
+    def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        if rows[0]["cell"] >= cells:
-            return pa.Table.from_pylist(_copies(rows), _SHARED_SCHEMA)
-        lists = [_unpack_marks(r["body"], bits) for r in rows]
-        block = np.repeat(np.array([r["block"] for r in rows], dtype=np.int64), [len(x) for x in lists])
-        mark = np.concatenate(lists)
-        by = np.argsort(mark, kind="stable")
-        mark, block = mark[by], block[by]
-        first = np.flatnonzero(np.append(True, mark[1:] != mark[:-1]))
-        many = np.diff(np.append(first, len(mark)))
-        times = np.repeat(many, many)
-        mark, block, times = mark[times > 1], block[times > 1], times[times > 1]
-        by = np.argsort(block, kind="stable")
-        mark, block, times = mark[by], block[by], times[by]
-        out = []
-        for part in np.split(np.arange(len(block)), np.flatnonzero(np.diff(block)) + 1):
-            if len(part):
-                own, hot = mark[part], times[part] > hot_blocks
-                out.append({"block": int(block[part[0]]), "shared": _pack_marks(own[~hot], bits), "hot": _pack_marks(own[hot], bits)})
-        return pa.Table.from_pylist(out, _SHARED_SCHEMA)
+        rows.sort(key=lambda r: r["block"])
+        return _table(one(rows))
 
-    return table.filter("NOT is_block").select("block", "cell", "ids", "sizes", "body").groupBy("cell").applyInArrow(one, _SHARED)
+    return table.groupBy("cell").applyInArrow(run, _PARTS)
 
 
-_SENT = "block long, cell long, subs binary, ids binary, owners binary, sizes binary, body binary"
-_SENT_SCHEMA = pa.schema([(c.split()[0], pa.int64() if c.split()[1] == "long" else pa.binary()) for c in _SENT.split(", ")])
+def _blockwise(bodies: DataFrame, told: DataFrame, one, schema: str) -> DataFrame:
+    """``one`` over each block's body and what it has been told, by kind and in the order of cells."""
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        by_kind: dict[int, list[dict]] = {k: [] for k in (KEPT, ASKED, RULED, BITS)}
+        for r in sorted(right.to_pylist(), key=lambda r: r["cell"]):
+            by_kind[r["kind"]].append(r)
+        return one(row["block"], Block.read(row["parts"]), by_kind)
 
-def _small(a: np.ndarray) -> bytes:
-    """Numbers from 0 on, byte by byte."""
-    return _pack(a.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return bodies.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
 
 
-def _large(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(_unpack(b, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+def _join(rows: list[dict], read, dtype) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype=dtype), *map(read, rows)])
 
 
-class Block:
-    """A block and those of its runs that need judging; made twice from the same rows, to send and to apply."""
+def _later(owner: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Whether a row with the same keys has a smaller owner."""
+    by = np.lexsort((owner, *keys))
+    first = np.append(True, np.any([k[by][1:] != k[by][:-1] for k in keys], axis=0)) if len(by) else np.zeros(0, dtype=bool)
+    out = np.empty(len(by), dtype=bool)
+    out[by] = owner[by] > owner[by][np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))]
+    return out
 
-    def __init__(self, row: dict, told: list[dict], cells: int, bits: int):
-        import xxhash
 
-        self.block, self.ids, self.sizes, self.body = row["block"], _unpack(row["ids"], np.int64), _unpack(row["sizes"], np.int64), _unpack(row["body"], np.uint8)
-        self.is_copy = np.zeros(len(self.ids), dtype=bool)
-        for r in told:
-            if r["copies"] is not None:
-                self.is_copy[_large(r["copies"])] = True
-        ids = self.ids
-        start, count, mark, doc = runs(self.body, self.sizes, bits)
-        own = ~self.is_copy[doc]  # a copy goes as a whole
-        start, count, mark, doc = start[own], count[own], mark[own], doc[own]
-        join = lambda c: np.sort(np.concatenate([np.zeros(0, dtype=np.uint64), *(_unpack_marks(r[c], bits) for r in told if r[c] is not None)]))
-        common, hot = join("shared"), join("hot")
-        among = lambda x, them: them[np.minimum(np.searchsorted(them, x), len(them) - 1)] == x if len(them) else np.zeros(len(x), dtype=bool)
-        # marks that two documents of the block share
-        by = np.lexsort((doc, mark))
-        twice = (mark[by][1:] == mark[by][:-1]) & (ids[doc[by]][1:] != ids[doc[by]][:-1])
-        is_hot = among(mark, hot)
-        kept = among(mark, common) | among(mark, np.unique(mark[by][1:][twice])) | is_hot
-        start, count, mark, doc, is_hot = (x[kept] for x in (start, count, mark, doc, is_hot))
-        # hot runs window by window
-        times = np.where(is_hot, count, 1)
-        nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-        start, count, mark, is_hot, doc = np.repeat(start, times) + nth, np.repeat(np.where(is_hot, 1, count), times), np.repeat(mark, times), np.repeat(is_hot, times), np.repeat(doc, times)
-        whole = self.body.tobytes()
-        seen: dict[bytes, int] = {}
-        self.piece = np.fromiter((seen.setdefault(whole[a:b], len(seen)) for a, b in zip(start.tolist(), (start + count + LENGTH - 1).tolist(), strict=True)), dtype=np.int64, count=len(start))
-        self.pieces = list(seen)
-        # documents of a block are in the order of their ids, pieces in that of their first run
-        first = np.flatnonzero(np.diff(np.maximum.accumulate(self.piece), prepend=-1) > 0)
-        key = mark[first]
-        for i in np.flatnonzero(is_hot[first]).tolist():
-            key[i] = xxhash.xxh64_intdigest(self.pieces[i])
-        self.start, self.count, self.doc, self.owner = start, count, doc, ids[doc[first]]
-        self.windows = np.array([len(p) - LENGTH + 1 for p in self.pieces], dtype=np.int64)
-        self.cell, self.sub = _cell(key, cells), _sub(key)
-        #: The order in which pieces are sent.
-        self.order = np.lexsort((self.sub, self.cell))
-
-    def sent(self) -> list[dict]:
+def shared_marks(table: DataFrame, cells: int, bits: int) -> DataFrame:
+    """To each block: its marks that other blocks have too; which of its different texts have a smaller owner elsewhere."""
+
+    def one(rows: list[dict]) -> list[dict]:
+        cell, blocks_of = rows[0]["cell"], [r["block"] for r in rows]
+        if cell >= cells:
+            raw = [np.frombuffer(r["parts"][0], dtype="S16") for r in rows]
+            owner = np.concatenate([_unpack(r["parts"][1], np.int64) for r in rows])
+            later = _later(owner, *_wide(np.concatenate(raw)))
+            return [{"kind": RULED, "block": b, "cell": cell, "parts": [_flags(x)]} for b, x in zip(blocks_of, np.split(later, np.cumsum([len(x) for x in raw])[:-1]), strict=True)]
+        lists = [_unpack_marks(r["parts"][0], bits) for r in rows]
+        mark = np.sort(np.concatenate(lists))
+        twice = np.unique(mark[1:][mark[1:] == mark[:-1]])
         out = []
-        for part in np.split(self.order, np.flatnonzero(np.diff(self.cell[self.order])) + 1):
-            if len(part):
-                own, of = np.unique(self.owner[part], return_inverse=True)
-                out.append({"block": self.block, "cell": int(self.cell[part[0]]), "subs": _pack(self.sub[part]), "ids": _pack(own), "owners": _small(of), "sizes": _small(self.windows[part]), "body": _pack(np.frombuffer(b"".join(self.pieces[i] for i in part.tolist()), dtype=np.uint8), 7)})
+        for b, own in zip(blocks_of, lists, strict=True):
+            both = own[np.isin(own, twice, assume_unique=True)]
+            if len(both):
+                out.append({"kind": ASKED, "block": b, "cell": cell, "parts": [_pack_marks(both, bits)]})
         return out
 
-    def removed(self, bit: np.ndarray) -> np.ndarray:
-        """Which bytes go, given one bit per window sent."""
-        n, ends = len(self.body), np.cumsum(self.sizes)
-        cover = np.zeros(n + 1, dtype=np.int32)
-        if len(self.start):
-            first = np.empty(len(self.order), dtype=np.int64)
-            first[self.order] = np.cumsum(self.windows[self.order]) - self.windows[self.order]
-            nth = np.arange(int(self.count.sum())) - np.repeat(np.cumsum(self.count) - self.count, self.count)
-            gone = bit[np.repeat(first[self.piece], self.count) + nth] | np.repeat(self.ids[self.doc] > self.owner[self.piece], self.count)
-            where = (np.repeat(self.start, self.count) + nth)[gone]
-            cover += np.bincount(where, minlength=n + 1).astype(np.int32)
-            cover -= np.bincount(where + LENGTH, minlength=n + 1).astype(np.int32)
-        np.add.at(cover, (ends - self.sizes)[self.is_copy], 1)
-        np.add.at(cover, ends[self.is_copy], -1)
-        return np.cumsum(cover)[:n] > 0
-
+    return _groups(table, one)
 
-def sent_runs(table: DataFrame, shared: DataFrame, cells: int, bits: int) -> DataFrame:
-    """Rows with the different runs of each block and cell."""
 
-    def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(Block(left.to_pylist()[0], right.to_pylist(), cells, bits).sent() if left.num_rows else [], _SENT_SCHEMA)
+class Kept:
+    """The runs of a block that its copies do not settle and whose marks are shared, and the numbers of the different ones."""
 
-    return table.select("block", "ids", "sizes", "body").groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(one, _SENT)
-
-
-_BITS = "block long, cell long, n long, bits binary"
+    def __init__(self, own: Block, start, count, number, mark, is_copy):
+        self.start, self.count, self.number, self.mark, self.is_copy = start, count, number, mark, is_copy
+        self.doc = np.searchsorted(own.ends, start, side="right")
+        self.owner = _first_owner(number, self.doc, own.ids, len(mark))
+        first = np.full(len(mark), len(start), dtype=np.int64)
+        np.minimum.at(first, number, np.arange(len(start)))
+        self.at, self.windows = start[first], count[first]
 
+    @classmethod
+    def of(cls, own: Block, told: dict[int, list[dict]], cells: int, bits: int, most: int) -> tuple[Kept, np.ndarray]:
+        """With the digests of the different runs."""
+        import xxhash
 
-def judged_runs(sent: DataFrame, batch_bytes: int) -> DataFrame:
-    """(block, cell, n, bits): for each of the n windows sent, whether an equal one has a smaller owner."""
+        doc, number, digest = own.digests()
+        later = _join(told[RULED], lambda r: _unflag(r["parts"][0]), bool)
+        is_copy = np.zeros(len(own.ids), dtype=bool)
+        if len(doc):
+            is_copy[doc] = later[number] | (own.ids[doc] > _first_owner(number, doc, own.ids, len(digest))[number])
+        start, count, mark, doc = runs(own.body, own.sizes, bits)
+        keep = ~is_copy[doc]
+        start, count, mark, doc = start[keep], count[keep], mark[keep], doc[keep]
+        common = _join(told[ASKED], lambda r: _unpack_marks(r["parts"][0], bits), np.uint64)
+        by = np.lexsort((doc, mark))
+        twice = (mark[by][1:] == mark[by][:-1]) & (own.ids[doc[by]][1:] != own.ids[doc[by]][:-1])
+        keep = np.isin(mark, np.append(common, mark[by][1:][twice]))
+        start, count, mark = start[keep], count[keep], mark[keep]
+        # long runs (of one repeated character, say) in parts, so that a piece is bounded
+        times = -(-count // most)
+        nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        start, count, mark = np.repeat(start, times) + nth * most, np.minimum(np.repeat(count, times) - nth * most, most), np.repeat(mark, times)
+        whole, hashed = own.whole, xxhash.xxh3_64_intdigest
+        digest = np.fromiter((hashed(whole[a:b]) for a, b in zip(start.tolist(), (start + count + LENGTH - 1).tolist(), strict=True)), dtype=np.uint64, count=len(start))
+        by = np.lexsort((digest, mark))
+        new = np.append(True, (mark[by][1:] != mark[by][:-1]) | (digest[by][1:] != digest[by][:-1])) if len(by) else np.zeros(0, dtype=bool)
+        number = np.empty(len(by), dtype=np.int64)
+        number[by] = np.cumsum(new) - 1
+        return cls(own, start, count, number, mark[by][new], is_copy), digest[by][new]
+
+    def parts(self, bits: int) -> list[bytes]:
+        return [_small(np.diff(self.start, prepend=0)), _small(self.count), _small(self.number), _pack_marks(self.mark, bits), _flags(self.is_copy)]
+
+    @classmethod
+    def read(cls, own: Block, parts: list[bytes], bits: int) -> Kept:
+        return cls(own, np.cumsum(_large(parts[0])), _large(parts[1]), _large(parts[2]), _unpack_marks(parts[3], bits), _unflag(parts[4]))
+
+    def hot_windows(self, own: Block, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of these runs, window by window: (number among the different digests, different digests in cell order, their first owners)."""
+        import xxhash
 
-    def one(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        rows.sort(key=lambda r: r["block"])
-        subs = [_unpack(r["subs"], np.uint8) for r in rows]
-        owners = [_unpack(r["ids"], np.int64)[_large(r["owners"])] for r in rows]
+        whole = own.whole
+        raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(whole[i : i + LENGTH]) for a, n in zip(self.at[hot].tolist(), self.windows[hot].tolist(), strict=True) for i in range(a, a + n)), dtype="S16")
+        digest, of = np.unique(raw, return_inverse=True)
+        by = np.argsort(_wide(digest)[0], kind="stable")
+        place = np.empty(len(by), dtype=np.int64)
+        place[by] = np.arange(len(by))
+        of = place[of]
+        least = np.full(len(digest), NO_ID, dtype=np.int64)
+        np.minimum.at(least, of, np.repeat(self.owner[hot], self.windows[hot]))
+        return of, digest[by], least
+
+
+def kept_runs(bodies: DataFrame, shared: DataFrame, cells: int, bits: int, most: int) -> DataFrame:
+    """Of each block: its kept runs; by cell the marks, digests and first owners of the different ones."""
+
+    def one(block: int, own: Block, told: dict[int, list[dict]]) -> pa.Table:
+        kept, digest = Kept.of(own, told, cells, bits, most)
+        cell = _cell(kept.mark, cells)
+        rows = [{"kind": KEPT, "block": block, "cell": -1, "parts": kept.parts(bits)}]
+        for c in _cuts(cell):
+            ids, of = np.unique(kept.owner[c], return_inverse=True)
+            rows.append({"kind": ASKED, "block": block, "cell": int(cell[c[0]]), "parts": [_pack_marks(kept.mark[c], bits), digest[c].tobytes(), _pack(ids), _small(of)]})
+        return _table(rows)
+
+    return materialize(_blockwise(bodies, shared, one, _PARTS), "substring-kept", partition_by="kind")
+
+
+def ruled_runs(table: DataFrame, bits: int, hot_runs: int) -> DataFrame:
+    """To each block, of its different runs: an earlier document has it; or it is the only one of its mark; or its windows need comparing."""
+
+    def one(rows: list[dict]) -> list[dict]:
+        lists = [_unpack_marks(r["parts"][0], bits) for r in rows]
+        mark, digest = np.concatenate(lists), np.concatenate([np.frombuffer(r["parts"][1], dtype=np.uint64) for r in rows])
+        owner = np.concatenate([_unpack(r["parts"][2], np.int64)[_large(r["parts"][3])] for r in rows])
+        later = _later(owner, digest, mark)
+        by = np.lexsort((digest, mark))
+        new_mark = np.append(True, mark[by][1:] != mark[by][:-1])
+        new = new_mark | np.append(True, digest[by][1:] != digest[by][:-1])
+        group = np.cumsum(new_mark) - 1
+        different = np.bincount(group[new])[group]
+        code = np.empty(len(by), dtype=np.uint8)
+        code[by] = np.where(different == 1, ALONE, np.where(different <= hot_runs, COMPARE, HOT))
+        code[later] = EARLIER
+        return [{"kind": RULED, "block": r["block"], "cell": r["cell"], "parts": [_pack(c)]} for r, c in zip(rows, np.split(code, np.cumsum([len(x) for x in lists])[:-1]), strict=True)]
+
+    return _groups(table, one)
+
+
+def _codes(told: dict[int, list[dict]]) -> np.ndarray:
+    return _join(told[RULED], lambda r: _unpack(r["parts"][0], np.uint8), np.uint8)
+
+
+def asked_windows(bodies: DataFrame, told: DataFrame, cells: int, bits: int) -> DataFrame:
+    """By cell, the bytes of each block's runs that need comparing; in the next ``cells`` cells, digests of the windows of hot marks."""
+
+    def one(block: int, own: Block, told: dict[int, list[dict]]) -> pa.Table:
+        kept, code = Kept.read(own, told[KEPT][0]["parts"], bits), _codes(told)
+        rows = []
+        some = np.flatnonzero(code == COMPARE)
+        cell, whole = _cell(kept.mark[some], cells), own.whole
+        for c in _cuts(cell):
+            ids, of = np.unique(kept.owner[some[c]], return_inverse=True)
+            body = b"".join(whole[a : a + n + LENGTH - 1] for a, n in zip(kept.at[some[c]].tolist(), kept.windows[some[c]].tolist(), strict=True))
+            rows.append({"kind": ASKED, "block": block, "cell": int(cell[c[0]]), "parts": [_pack(_sub(kept.mark[some[c]])), _pack(ids), _small(of), _small(kept.windows[some[c]]), _pack(np.frombuffer(body, dtype=np.uint8), 7)]})
+        _, digest, least = kept.hot_windows(own, np.flatnonzero(code == HOT))
+        cell = cells + _cell(_wide(digest)[0], cells)
+        rows += [{"kind": ASKED, "block": block, "cell": int(cell[c[0]]), "parts": [digest[c].tobytes(), _pack(least[c])]} for c in _cuts(cell)]
+        return _table(rows)
+
+    return _blockwise(bodies, told, one, _PARTS)
+
+
+def judged_windows(asked: DataFrame, cells: int, batch_bytes: int) -> DataFrame:
+    """To each block, for each window that it sent: whether an equal one has a smaller owner."""
+
+    def compared(rows: list[dict]) -> list[np.ndarray]:
+        owners = [_unpack(r["parts"][1], np.int64)[_large(r["parts"][2])] for r in rows]
         seen: dict[bytes, int] = {}
         piece = []
         for r in rows:
-            data, w = _unpack(r["body"], np.uint8).tobytes(), _large(r["sizes"])
-            ends = np.cumsum(w + LENGTH - 1)
-            piece += [seen.setdefault(data[a:b], len(seen)) for a, b in zip((ends - w - LENGTH + 1).tolist(), ends.tolist(), strict=True)]
-        of, sub, owner = np.array(piece, dtype=np.int64), np.concatenate(subs), np.concatenate(owners)
-        pieces = list(seen)
+            data, ends = _unpack(r["parts"][4], np.uint8).tobytes(), np.cumsum(_large(r["parts"][3]) + LENGTH - 1)
+            piece += [seen.setdefault(data[a:b], len(seen)) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        of, pieces = np.array(piece, dtype=np.int64), list(seen)
         least = np.full(len(pieces), NO_ID, dtype=np.int64)
-        np.minimum.at(least, of, owner)
-        own_sub = np.zeros(len(pieces), dtype=np.uint8)
-        own_sub[of] = sub
-        # equal windows have one key: batches of whole parts, of bounded bytes
-        by = np.argsort(own_sub, kind="stable")
+        np.minimum.at(least, of, np.concatenate(owners))
+        sub = np.zeros(len(pieces), dtype=np.uint8)
+        sub[of] = np.concatenate([_unpack(r["parts"][0], np.uint8) for r in rows])
+        # equal windows have one mark: batches of whole parts, of bounded bytes
+        by = np.argsort(sub, kind="stable")
         sizes = np.array([len(p) for p in pieces], dtype=np.int64)[by]
         total = np.append(0, np.cumsum(sizes))
         cut = [0]
-        for a, b in zip(edges := [0, *(np.flatnonzero(np.diff(own_sub[by])) + 1).tolist()], [*edges[1:], len(by)], strict=True):
-            if total[b] - total[cut[-1]] > batch_bytes and a > cut[-1]:
-                cut.append(a)
+        for part in _cuts(sub[by]):
+            if total[part[-1] + 1] - total[cut[-1]] > batch_bytes and part[0] > cut[-1]:
+                cut.append(int(part[0]))
         cut.append(len(by))
         found: list[np.ndarray | None] = [None] * len(pieces)
         for a, b in zip(cut[:-1], cut[1:], strict=True):
-            some = by[a:b]
-            smallest = smallest_owner([pieces[i] for i in some.tolist()], least[some])
-            for i, x in zip(some.tolist(), np.split(smallest, np.cumsum(sizes[a:b] - LENGTH + 1)[:-1]), strict=True):
+            some = by[a:b].tolist()
+            smallest = smallest_owner([pieces[i] for i in some], least[by[a:b]])
+            for i, x in zip(some, np.split(smallest, np.cumsum(sizes[a:b] - LENGTH + 1)[:-1]), strict=True):
                 found[i] = x
         out, at = [], 0
-        for r, o in zip(rows, owners, strict=True):
-            got = [found[i] for i in of[at : at + len(o)].tolist()]
-            bit = np.concatenate(got) < np.repeat(o, [len(x) for x in got])
-            out.append({"block": r["block"], "cell": r["cell"], "n": len(bit), "bits": _pack(np.packbits(bit))})
+        for o in owners:
+            got = [found[i] for i in piece[at : at + len(o)]]
+            out.append(np.concatenate(got) < np.repeat(o, [len(x) for x in got]))
             at += len(o)
-        return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("cell", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())]))
+        return out
 
-    return sent.groupBy("cell").applyInArrow(one, _BITS)
+    def looked_up(rows: list[dict]) -> list[np.ndarray]:
+        raw = [np.frombuffer(r["parts"][0], dtype="S16") for r in rows]
+        later = _later(np.concatenate([_unpack(r["parts"][1], np.int64) for r in rows]), *_wide(np.concatenate(raw)))
+        return np.split(later, np.cumsum([len(x) for x in raw])[:-1])
+
+    def one(rows: list[dict]) -> list[dict]:
+        bits = (compared if rows[0]["cell"] < cells else looked_up)(rows)
+        return [{"kind": BITS, "block": r["block"], "cell": r["cell"], "parts": [_flags(x)]} for r, x in zip(rows, bits, strict=True)]
+
+    return _groups(asked, one)
+
+
+def covered(own: Block, told: dict[int, list[dict]], cells: int, bits: int) -> np.ndarray:
+    """Which bytes of a block go."""
+    kept, code = Kept.read(own, told[KEPT][0]["parts"], bits), _codes(told)
+    compared = _join([r for r in told[BITS] if r["cell"] < cells], lambda r: _unflag(r["parts"][0]), bool)
+    looked_up = _join([r for r in told[BITS] if r["cell"] >= cells], lambda r: _unflag(r["parts"][0]), bool)
+    n = len(own.body)
+    cover = np.zeros(n + 1, dtype=np.int32)
+
+    def goes(first: np.ndarray, stop: np.ndarray) -> None:
+        cover[:] += (np.bincount(first, minlength=n + 1) - np.bincount(stop, minlength=n + 1)).astype(np.int32)
+
+    whole = (code[kept.number] == EARLIER) | (own.ids[kept.doc] > kept.owner[kept.number])
+    goes(kept.start[whole], (kept.start + kept.count + LENGTH - 1)[whole])
+    goes((own.ends - own.sizes)[kept.is_copy], own.ends[kept.is_copy])
+    # the first owners' runs, window by window
+    hot = np.flatnonzero(code == HOT)
+    of, _, least = kept.hot_windows(own, hot)
+    looked_up = looked_up[of] | (np.repeat(kept.owner[hot], kept.windows[hot]) > least[of]) if len(hot) else looked_up
+    for which, bit in ((np.flatnonzero(code == COMPARE), compared), (hot, looked_up)):
+        first = np.full(len(code), -1, dtype=np.int64)
+        first[which] = np.cumsum(kept.windows[which]) - kept.windows[which]
+        own_runs = np.flatnonzero(~whole & (first[kept.number] >= 0))
+        count = kept.count[own_runs]
+        nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        at = (np.repeat(kept.start[own_runs], count) + nth)[bit[np.repeat(first[kept.number[own_runs]], count) + nth]]
+        goes(at, at + LENGTH)
+    return np.cumsum(cover)[:n] > 0
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>"
 
 
-def _apply(row: dict, told: list[dict], cells: int, bits: int) -> pa.Table:
+def _spans(own: Block, gone: np.ndarray) -> pa.Table:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))])
-    block = Block(row, [r for r in told if r["bits"] is None], cells, bits)
-    replies = sorted((r for r in told if r["bits"] is not None), key=lambda r: r["cell"])
-    covered = block.removed(np.concatenate([np.zeros(0, dtype=bool), *(np.unpackbits(_unpack(r["bits"], np.uint8))[: r["n"]].astype(bool) for r in replies)]))
-    ids, body, ends = block.ids, block.body, np.cumsum(block.sizes)
-    starts = ends - block.sizes
-    bounds = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0))
-    out = []
-    whole = body.tobytes()
+    whole, ends = own.whole, own.ends
+    starts = ends - own.sizes
+    bounds = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
     edges_from, edges_to = bounds[::2], bounds[1::2]
     low, high = np.searchsorted(edges_to, starts, side="right"), np.searchsorted(edges_from, ends, side="left")
-    for i, (doc_id, a, b) in enumerate(zip(ids.tolist(), starts.tolist(), ends.tolist(), strict=True)):
+    out = []
+    for i, (doc_id, a, b) in enumerate(zip(own.ids.tolist(), starts.tolist(), ends.tolist(), strict=True)):
         spans = [(max(int(s), a) - a, min(int(e), b) - a) for s, e in zip(edges_from[low[i] : high[i]], edges_to[low[i] : high[i]], strict=True)] if b > a else []
         kept, at = hashlib.sha256(), a
         for s, e in spans:
@@ -489,31 +642,35 @@ def _apply(row: dict, told: list[dict], cells: int, bits: int) -> pa.Table:
     return pa.Table.from_pylist(out, schema)
 
 
-def remove_repeats(docs: DataFrame, block_bytes: int = 8 << 20, batch_bytes: int = 1 << 20, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
+def remove_repeats(docs: DataFrame, block_bytes: int = 4 << 20, batch_bytes: int = 1 << 20, hot_runs: int = HOT_RUNS, most_windows: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (of bytes, end exclusive) of every document.
 
-    block_bytes: of text in a block.  batch_bytes: of text under one suffix array.  hot_blocks: marks in more
-    blocks go window by window.
+    block_bytes: of text in a block.  batch_bytes: of text under one suffix array.  hot_runs: marks with more
+    different runs go window by window.  most_windows: longer runs are cut.  None of them changes the result.
     """
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).head()[0] or 0
     if not total and docs.isEmpty():
         kinds = [c.split() for c in _RESULT.split(", ")]
         return docs.limit(0).select(F.col("doc_id").cast("long").alias("doc_id"), *[F.lit(None).cast(t).alias(n) for n, t in kinds[1:]])
-    few, many = max(16, -(-total // (8 << 20))), max(64, -(-total // (4 << 20)))
+    cells = max(48, -(-total // (32 << 20)))
     bits = min(64, max(40, (total // 16).bit_length() + 14))  # a mark meets another by chance in one of 2^14
-    table = blocks(docs, few, block_bytes, bits)
-    shared = materialize(shared_marks(table, few, bits, hot_blocks), "substring-shared")
-    delete(docs.sparkSession, f"{table._scratch_path}/is_block=false")
-    table = _only_blocks(table)
-    judged = materialize(judged_runs(sent_runs(table, shared, many, bits), batch_bytes), "substring-bits")
-    told = shared.withColumns({"cell": F.lit(None).cast("long"), "n": F.lit(None).cast("long"), "bits": F.lit(None).cast("binary")}).unionByName(judged, allowMissingColumns=True)
-
-    def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _apply(left.to_pylist()[0], right.to_pylist(), many, bits)
-
-    return table.select("block", "ids", "sizes", "body").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(one, _RESULT)
-
-
-def _only_blocks(table: DataFrame) -> DataFrame:
-    """The rows of whole blocks, once the others' files are gone."""
-    return table.sparkSession.read.schema(table.drop("is_block").schema).parquet(f"{table._scratch_path}/is_block=true")
+    spark = docs.sparkSession
+    table = blocks(docs, cells, block_bytes, bits)
+    bodies = _kind(table, BODY)
+    shared = materialize(shared_marks(_kind_or_none(table, ASKED), cells, bits), "substring-shared")
+    delete(spark, f"{table._scratch_path}/kind={ASKED}")
+    kept = kept_runs(bodies, shared, cells, bits, most_windows)
+    release(shared)
+    ruled = materialize(ruled_runs(_kind_or_none(kept, ASKED), bits, hot_runs), "substring-ruled")
+    delete(spark, f"{kept._scratch_path}/kind={ASKED}")
+    told = _kind(kept, KEPT).unionByName(ruled)
+    bits_of = materialize(judged_windows(asked_windows(bodies, told, cells, bits), cells, batch_bytes), "substring-bits")
+    return _blockwise(bodies, told.unionByName(bits_of), lambda _, own, said: _spans(own, covered(own, said, cells, bits)), _RESULT)
+
+
+def _kind_or_none(table: DataFrame, kind: int) -> DataFrame:
+    """The same for a kind that may have no rows, and so no files."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{table._scratch_path}/kind={kind}")
+    if path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).exists(path):
+        return _kind(table, kind)
+    return table.limit(0).select(F.lit(kind).cast("int").alias("kind"), "block", "cell", "parts")

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from nearfield.llm import chat, decontaminate, exact_dedup, packing, secrets, sharding, simhash, substrings
+from nearfield.llm import chat, decontaminate, exact_dedup, packing, queries, secrets, sharding, simhash, substrings
 
 from .conftest import ROWS, documents, plain
 
@@ -244,7 +244,7 @@ FIELDS = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 def test_repeats_of_odd_documents(docs, no_docs):
     want = slow_repeats(ROWS)
     assert plain(substrings.remove_repeats(docs), *FIELDS) == want
-    assert plain(substrings.remove_repeats(docs, block_bytes=5000, batch_bytes=3000, hot_blocks=1), *FIELDS) == want
+    assert plain(substrings.remove_repeats(docs, block_bytes=5000, batch_bytes=3000, hot_runs=1), *FIELDS) == want
     assert substrings.remove_repeats(no_docs).count() == 0
 
 
@@ -254,7 +254,24 @@ def test_a_passage_shared_by_many(spark, hot):
     passage = "".join(chr(97 + int(c)) for c in rng.integers(0, 26, 160))
     rows = [(i, "".join(chr(97 + int(c)) for c in rng.integers(0, 3, int(rng.integers(0, 200)))) + (passage if i % 3 else passage[20:90]) + "tail" * int(rng.integers(0, 5))) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert plain(substrings.remove_repeats(df, block_bytes=1500, batch_bytes=2000, hot_blocks=hot), *FIELDS) == slow_repeats(rows)
+    assert plain(substrings.remove_repeats(df, block_bytes=1500, batch_bytes=2000, hot_runs=hot), *FIELDS) == slow_repeats(rows)
+
+
+def test_a_text_and_a_passage_in_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(3)
+    letters = lambda n, k=26: "".join(chr(97 + int(c)) for c in rng.integers(0, k, n))
+    hot, passage = letters(300), letters(120)
+    rows = [(i, hot if i % 3 == 0 else letters(int(rng.integers(1, 90)), 4) + passage + letters(int(rng.integers(1, 90)), 4) if i % 3 == 1 else letters(150)) for i in range(240)]
+    rows += [(3, hot), (3, "a" * 5000), (900, "a" * 3000 + "b"), (None, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = slow_repeats(rows)
+    for hot_runs, most in ((2, 40), (1024, 1024)):
+        assert plain(substrings.remove_repeats(df, block_bytes=3000, batch_bytes=4000, hot_runs=hot_runs, most_windows=most), *FIELDS) == want
+
+
+def test_op4_query_equals_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    assert plain(queries.op4_repeated_substrings(spark, "/root/testdata/sf0.001"), *FIELDS) == slow_repeats(rows)
 
 
 @settings(max_examples=60, deadline=None)
