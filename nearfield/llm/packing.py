@@ -81,7 +81,7 @@ class WordTokenizer:
     hand and earlier ones share, which are the frequent ones.
     """
 
-    def __init__(self, path: str, most_words: int = 240_000):
+    def __init__(self, path: str, most_words: int = 400_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -101,6 +101,9 @@ class WordTokenizer:
         self.most_words = most_words
         self.words, self.word_ids = {}, _Lists()
         self.parts, self.part_ids = {}, _Lists()
+        #: Words and parts that the last texts and earlier ones share.
+        self.common: set[str] = set()
+        self.common_parts: set[str] = set()
 
     @staticmethod
     def _only(known: dict[str, int], lists: _Lists, keep: set[str]) -> tuple[dict[str, int], _Lists]:
@@ -111,11 +114,11 @@ class WordTokenizer:
         out.add(lists.gather(at), lists.sizes[at])
         return dict(zip(kept, range(len(kept)), strict=True)), out
 
-    def rest(self, most_words: int = 20_000) -> None:
-        """Forget all words, if many, until the next task."""
-        if len(self.words) > most_words:
-            self.words, self.word_ids = {}, _Lists()
-            self.parts, self.part_ids = {}, _Lists()
+    def rest(self) -> None:
+        """Forget all but the frequent words until the next task."""
+        self.words, self.word_ids = self._only(self.words, self.word_ids, self.common)
+        self.parts, self.part_ids = self._only(self.parts, self.part_ids, self.common_parts)
+        self.common, self.common_parts = set(), set()
 
     def _encode_parts(self, parts: list[str]) -> None:
         """Learn parts (runs that the tokenizer never merges across)."""
@@ -141,9 +144,11 @@ class WordTokenizer:
             whole = "\n".join(plain)
         if plain:
             flat = self.parts_of(whole.lower())
+            met = set(flat) - {"\n"}
+            unknown = list(met.difference(self.parts))
+            self.common_parts = met.difference(unknown)
             if len(self.parts) > self.most_words:
-                self.parts, self.part_ids = self._only(self.parts, self.part_ids, set(flat))
-            unknown = list(set(flat).difference(self.parts, ("\n",)))
+                self.parts, self.part_ids = self._only(self.parts, self.part_ids, self.common_parts)
             if unknown:
                 self._encode_parts(unknown)
             at = np.fromiter(map(self.parts.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
@@ -165,9 +170,11 @@ class WordTokenizer:
         odd = {i for i, t in enumerate(texts) if any(c in t for c in _ODD_SPACE)}
         words = [[] if i in odd else t.split() for i, t in enumerate(texts)]
         flat = [w for ws in words for w in ws]
+        met = set(flat)
+        new = met.difference(self.words)
+        self.common = met - new
         if len(self.words) > self.most_words:
-            self.words, self.word_ids = self._only(self.words, self.word_ids, set(flat))
-        new = set(flat).difference(self.words)
+            self.words, self.word_ids = self._only(self.words, self.word_ids, self.common)
         if new:
             self._learn(list(new))
         at = np.fromiter(map(self.words.__getitem__, flat), dtype=np.int64, count=len(flat))
@@ -295,7 +302,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 2048, end_
             at = 0
             while at < len(doc_ids):  # some MB of text at a time
                 part, chars = [], 0
-                while at + len(part) < len(doc_ids) and chars < 1 << 20:
+                while at + len(part) < len(doc_ids) and chars < 2 << 20:
                     part.append(texts[at + len(part)].as_py() or "")
                     chars += len(part[-1])
                 for doc_id, ids in zip(doc_ids[at : at + len(part)], ids_of.encode(part), strict=True):

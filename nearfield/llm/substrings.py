@@ -175,7 +175,7 @@ def marks(text: np.ndarray, slab: int = 1 << 20) -> np.ndarray:
         while width < SPAN:
             h = np.minimum(h[:-width], h[width:])
             width *= 2
-        out[a:b] = h
+        out[a:b] = h * _MIX[0]  # least hashes are small: spread them over all cells
     return out
 
 
