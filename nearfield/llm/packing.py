@@ -20,7 +20,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -101,14 +101,13 @@ class WordTokenizer:
         self.most_words = most_words
         self.words, self.word_ids = {}, _Lists()
         self.parts, self.part_ids = {}, _Lists()
-        #: Words and parts that the last texts and earlier ones share.
-        self.common: set[str] = set()
-        self.common_parts: set[str] = set()
+        #: Words and parts of the last texts, and those of them that were new: what is left is frequent.
+        self.common = self.common_parts = ([], set())
 
     @staticmethod
-    def _only(known: dict[str, int], lists: _Lists, keep: set[str]) -> tuple[dict[str, int], _Lists]:
-        """The lists of these words alone."""
-        kept = [w for w in known if w in keep]
+    def _only(known: dict[str, int], lists: _Lists, met: Iterable[str], new: set[str]) -> tuple[dict[str, int], _Lists]:
+        """The lists of the words met that are not new."""
+        kept = [w for w in met if w not in new]
         at = np.fromiter(map(known.__getitem__, kept), dtype=np.int64, count=len(kept))
         out = _Lists()
         out.add(lists.gather(at), lists.sizes[at])
@@ -116,9 +115,9 @@ class WordTokenizer:
 
     def rest(self) -> None:
         """Forget all but the frequent words until the next task."""
-        self.words, self.word_ids = self._only(self.words, self.word_ids, self.common)
-        self.parts, self.part_ids = self._only(self.parts, self.part_ids, self.common_parts)
-        self.common, self.common_parts = set(), set()
+        self.words, self.word_ids = self._only(self.words, self.word_ids, *self.common)
+        self.parts, self.part_ids = self._only(self.parts, self.part_ids, *self.common_parts)
+        self.common = self.common_parts = ([], set())
 
     def _encode_parts(self, parts: list[str]) -> None:
         """Learn parts (runs that the tokenizer never merges across)."""
@@ -144,11 +143,12 @@ class WordTokenizer:
             whole = "\n".join(plain)
         if plain:
             flat = self.parts_of(whole.lower())
-            met = set(flat) - {"\n"}
-            unknown = list(met.difference(self.parts))
-            self.common_parts = met.difference(unknown)
+            met = set(flat)
+            met.discard("\n")
+            unknown = [p for p in met if p not in self.parts]
+            self.common_parts = met, set(unknown)
             if len(self.parts) > self.most_words:
-                self.parts, self.part_ids = self._only(self.parts, self.part_ids, self.common_parts)
+                self.parts, self.part_ids = self._only(self.parts, self.part_ids, *self.common_parts)
             if unknown:
                 self._encode_parts(unknown)
             at = np.fromiter(map(self.parts.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
@@ -163,26 +163,39 @@ class WordTokenizer:
             self.word_ids.add(np.array([i for x in ids for i in x], dtype=np.int32), np.array([len(x) for x in ids], dtype=np.int64))
             self.words.update(zip(other, range(len(self.words), len(self.words) + len(other)), strict=True))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
+    def encode(self, texts) -> list[np.ndarray]:
+        """The ids of each text of a list or Arrow array; a null is empty."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        texts = texts.fill_null("")
         if not self.by_words:
-            return [np.array(e.ids, dtype=np.int32) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        odd = {i for i, t in enumerate(texts) if any(c in t for c in _ODD_SPACE)}
-        words = [[] if i in odd else t.split() for i, t in enumerate(texts)]
-        flat = [w for ws in words for w in ws]
-        met = set(flat)
-        new = met.difference(self.words)
-        self.common = met - new
-        if len(self.words) > self.most_words:
-            self.words, self.word_ids = self._only(self.words, self.word_ids, self.common)
+            return [np.array(e.ids, dtype=np.int32) for e in self.whole.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        odd = pc.match_substring_regex(texts, f"[{_ODD_SPACE}]")
+        lists = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
+        # words are told apart before they become Python strings
+        flat = lists.flatten().dictionary_encode()
+        words = flat.dictionary.to_pylist()
+        known = self.words
+        new = [w for w in words if w not in known]
+        self.common = words, set(new)
+        if len(known) > self.most_words:
+            self.words, self.word_ids = self._only(known, self.word_ids, *self.common)
+        if "" in self.common[1]:  # before white space at the start, and after it at the end
+            new.remove("")
+            self.words[""] = len(self.words)
+            self.word_ids.add(np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64))
         if new:
-            self._learn(list(new))
-        at = np.fromiter(map(self.words.__getitem__, flat), dtype=np.int64, count=len(flat))
+            self._learn(new)
+        place = np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))
+        at = place[flat.indices.to_numpy()]
         ids, ends = self.word_ids.gather(at), np.cumsum(self.word_ids.sizes[at])
-        per_text = np.concatenate([[0], ends])[np.cumsum([0, *map(len, words)])]
+        offsets = lists.offsets.to_numpy()
+        per_text = np.concatenate([[0], ends])[offsets - offsets[0]]
         out = [ids[a:b] for a, b in zip(per_text[:-1].tolist(), per_text[1:].tolist(), strict=True)]
-        for i in odd:
-            out[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, dtype=np.int32)
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = np.array(self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype=np.int32)
         return out
 
 
@@ -208,12 +221,23 @@ class Bm25:
         self.terms = self.term[by_doc]
         self.of_doc = np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=n))])
         self.n, self.query_terms = n, query_terms
+        # terms that many documents have: a row with the weight in every document, at most 16 MB of them
+        most = np.argsort(-df, kind="stable")[: (4 << 20) // n]
+        often = np.sort(most[df[most] * 6 > n])
+        self.row_of = np.full(width, -1, dtype=np.int64)
+        self.row_of[often] = np.arange(len(often))
+        own = self.row_of[self.term]
+        self.dense = np.zeros((len(often), n), dtype=np.float32)
+        self.dense[own[own >= 0], self.doc[own >= 0]] = self.weight[own >= 0]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents with a score for the seed's terms (all, or the heaviest), best first, ties by order."""
         terms = np.sort(self.terms[self.of_doc[seed] : self.of_doc[seed + 1]][: self.query_terms])
-        spans = [slice(self.first[t], self.first[t + 1]) for t in terms]
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), weights=np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
+        row = self.row_of[terms]
+        spans = [slice(a, b) for a, b in zip(self.first[terms[row < 0]].tolist(), self.first[terms[row < 0] + 1].tolist(), strict=True)]
+        score = self.dense[row[row >= 0]].sum(axis=0, dtype=np.float64)
+        if spans:
+            score += np.bincount(np.concatenate([self.doc[s] for s in spans]), weights=np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
         found = np.flatnonzero((score > 0) & unused)
         return found[np.argsort(-score[found], kind="stable")]
 
@@ -271,6 +295,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 2048, end_
     seed, its heaviest by BM25, that ask for neighbours; None: all.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
     from pyspark import TaskContext
 
     path = tokenizer or default_tokenizer()
@@ -299,20 +324,19 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 2048, end_
 
         for b in batches:
             texts, doc_ids = b.column(1), b.column(0).to_pylist()
+            ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy())
             at = 0
             while at < len(doc_ids):  # some MB of text at a time
-                part, chars = [], 0
-                while at + len(part) < len(doc_ids) and chars < 2 << 20:
-                    part.append(texts[at + len(part)].as_py() or "")
-                    chars += len(part[-1])
-                for doc_id, ids in zip(doc_ids[at : at + len(part)], ids_of.encode(part), strict=True):
+                stop = min(len(doc_ids), 1 + int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (2 << 20))))
+                part = texts.slice(at, stop - at)
+                for doc_id, ids in zip(doc_ids[at:stop], ids_of.encode(part), strict=True):
                     held.append(np.append(ids, np.int32(end_id)))
                     names_held.append(doc_id)
                     size += len(ids) + 1
                     if size >= shard_tokens:
                         yield told()
                         held, names_held, size = [], [], 0
-                at += len(part)
+                at = stop
         if held:
             yield told()
         del held, names_held
