@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.functions.validate import is_valid_vector, metric_of
+from nearfield.functions.validate import DEFAULT_NPROBE, MAX_TOPK, InvalidArgument, metric_of
 from nearfield.operators import kmeans, knn
 
 
@@ -35,7 +35,11 @@ class IVFIndex:
 
     @classmethod
     def build(cls, vectors: DataFrame, nlist: int, metric: str = "L2", max_train: int = kmeans.MAX_TRAIN, iterations: int = kmeans.ITERATIONS, seeding: str = "farthest") -> IVFIndex:
-        """Train on a bounded sample, then put every vector into its list."""
+        """Train on a bounded sample, then put every vector into its list.
+
+        The dimension is that of the good vector with the smallest id of the sample; null vectors, those of
+        another dimension and those that are not finite are skipped, as ``add`` does.
+        """
         if nlist <= 0:
             raise ValueError("nlist must be positive")
         _, x = kmeans.sample(vectors, max_train)
@@ -43,9 +47,8 @@ class IVFIndex:
         return cls(centroids, kmeans.assign(vectors, centroids, metric_of(metric)), metric_of(metric))
 
     def add(self, vectors: DataFrame) -> IVFIndex:
-        """The index with more vectors under the same centroids; ids may repeat."""
-        good = vectors.filter(is_valid_vector(F.col("vector"), self.dimension))
-        return IVFIndex(self.centroids, self.lists.unionByName(kmeans.assign(good, self.centroids, self.metric)), self.metric)
+        """The index with more vectors under the same centroids; ids may repeat, bad vectors are skipped."""
+        return IVFIndex(self.centroids, self.lists.unionByName(kmeans.assign(vectors, self.centroids, self.metric)), self.metric)
 
     def probe_order(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(lists, distances) of all centroids for each query, nearest first, ties to the lowest list."""
@@ -57,8 +60,13 @@ class IVFIndex:
         for rows in knn.query_blocks(queries):
             block = knn.block_of(rows, k or 1)
             if k is None:
-                block.k = np.array([r.k for r in rows])
-            n = np.minimum(np.array([nprobe if nprobe is not None else r.nprobe for r in rows], dtype=np.int64), self.nlist)
+                block.k = np.array([r.k or 0 for r in rows], dtype=np.int64)
+                if ((block.k < 1) | (block.k > MAX_TOPK)).any():
+                    raise InvalidArgument(f"k must be in 1..{MAX_TOPK}")
+            if rows and block.vectors.shape[1] != self.dimension:
+                raise InvalidArgument(f"queries must have {self.dimension} numbers")
+            n = np.array([nprobe if nprobe is not None else r.nprobe or 0 for r in rows], dtype=np.int64)
+            n = np.minimum(np.where(n > 0, n, DEFAULT_NPROBE), self.nlist)
             order, _ = self.probe_order(block.vectors) if rows else (np.zeros((0, 0)), None)
             pairs = [(int(order[i, j]), i) for i in range(len(rows)) for j in range(int(n[i]))]
             probes: dict[int, list[int]] = {}
@@ -85,19 +93,17 @@ class IVFIndex:
 
     def search(self, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
         """(query_id, rank, id, distance): the k nearest of the nprobe nearest lists."""
-        nearest = self.candidates(queries, k, nprobe).groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
-        return knn.ranked(nearest, k)
+        return knn.ranked(knn.nearest_of_id(self.candidates(queries, k, nprobe)), k)
 
     def search_batch(self, queries: DataFrame) -> DataFrame:
-        """The same with k and nprobe of each query's own row."""
-        nearest = self.candidates(queries, None, None).groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
-        return knn.ranked(nearest.join(queries.select("query_id", "k"), "query_id"))
+        """The same with k (1 to 1000, else an error) and nprobe (0 or less: the default) of each query's own row."""
+        return knn.ranked(knn.nearest_of_id(self.candidates(queries, None, None)).join(queries.select("query_id", "k"), "query_id"))
 
     def list_topk(self, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
         """(query_id, list_id, rank, id, distance): the k nearest of each probed list, before the merge."""
         from pyspark.sql import Window
 
-        own = self.candidates(queries, k, nprobe).distinct().join(self.lists.select("id", "list_id"), "id")
+        own = self.candidates(queries, k, nprobe).distinct()
         w = Window.partitionBy("query_id", "list_id").orderBy("distance", "id")
         return own.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("query_id", "list_id", "rank", "id", "distance")
 

@@ -11,36 +11,55 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.operators.knn import matrix, pair_distances
+from nearfield.operators.knn import good_rows, near_distances, pair_distances, paired_distances
 
 ITERATIONS, MAX_TRAIN, PLACES = 10, 100_000, 9
 
 
 def sample(vectors: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, matrix) of at most about ``max_train`` vectors in the order of their ids."""
-    rows = vectors.select("id", "vector")
+    """(ids, matrix) of at most about ``max_train`` vectors in the order of their ids; bad ones are skipped."""
+    rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).filter(F.size("vector") > 0)
     count = rows.count()
     if count > max_train:
         rows = rows.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < (1 << 20) * max_train // count)
-    got = sorted(rows.collect(), key=lambda r: r.id)
-    return np.array([r.id for r in got], dtype=np.int64), np.array([r.vector for r in got], dtype=np.float64).reshape(len(got), -1)
+    got = rows.toArrow().sort_by("id").combine_chunks()
+    if not got.num_rows:
+        return np.zeros(0, dtype=np.int64), np.zeros((0, 0))
+    column = got.column("vector").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    ids = got.column("id").to_numpy()
+    for size in dict.fromkeys(pc.list_value_length(column).to_pylist()):  # the first good vector decides
+        at, x = good_rows(column, size)
+        if len(x):
+            break
+    return ids if at is None else ids[at], x
 
 
 def farthest_first(x: np.ndarray, k: int) -> np.ndarray:
     """Rows that seed k clusters: the first, then each time the row farthest from all seeds, ties to the first."""
     if not len(x):
         raise ValueError("no vectors to train on")
-    rows = [0]
-    least = pair_distances(x, x[:1], "L2")[:, 0]
+    rows, by_dimension = [0], np.ascontiguousarray(x.T)
+    least = _to_one(by_dimension, x[0])
     while len(rows) < min(k, len(x)):
         rows.append(int(least.argmax()))
-        least = np.minimum(least, pair_distances(x, x[rows[-1:]], "L2")[:, 0])
+        least = np.minimum(least, _to_one(by_dimension, x[rows[-1]]))
     return np.array(rows)
 
 
+def _to_one(by_dimension: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Squared distances of all columns to one point, summed dimension by dimension."""
+    out = np.zeros(by_dimension.shape[1])
+    for row, p in zip(by_dimension, point, strict=True):
+        t = row - p
+        out += t * t
+    return out
+
+
 def d2_sampling(x: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
     """k-means++: each next seed is drawn with probability in proportion to its squared distance."""
     rng = np.random.default_rng(seed)
@@ -54,16 +73,26 @@ def d2_sampling(x: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray, metric: str = "L2", rows_at_once: int = 4096) -> np.ndarray:
-    """The nearest centroid of each row, ties to the lowest."""
-    return np.concatenate([np.zeros(0, dtype=np.int64), *(pair_distances(x[a : a + rows_at_once], centroids, metric).argmin(axis=1) for a in range(0, len(x), rows_at_once))])
+    """The nearest centroid of each row, ties to the lowest: by a matrix product, near ties by the plain sum."""
+    out = np.zeros(len(x), dtype=np.int64)
+    for a in range(0, len(x), rows_at_once):
+        part = x[a : a + rows_at_once]
+        # the centroids ask, as rows of the product, so that each vector has its own margin
+        d, margin = near_distances(centroids, part, metric)
+        row, c = np.nonzero(~(d > d.min(axis=0) + margin).T)
+        exact = paired_distances(part[row], centroids[c], metric) if len(row) > len(part) else np.zeros(len(row))
+        by = np.lexsort((c, exact, row))
+        out[a + row[by][np.append(True, np.diff(row[by]) > 0)]] = c[by][np.append(True, np.diff(row[by]) > 0)]
+    return out
 
 
 def lloyd(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """One step: means of the rows of each centroid; one without rows stays."""
     own = nearest(x, centroids)
+    by = np.argsort(own, kind="stable")
+    found, first, n = np.unique(own[by], return_index=True, return_counts=True)
     out = centroids.copy()
-    for c in np.unique(own):
-        out[c] = np.round(x[own == c].sum(axis=0) / (own == c).sum(), PLACES)
+    out[found] = np.round(np.add.reduceat(x[by], first, axis=0) / n[:, None], PLACES)
     return out
 
 
@@ -77,12 +106,14 @@ def train(x: np.ndarray, k: int, iterations: int = ITERATIONS, seeding: str = "f
 
 
 def assign(vectors: DataFrame, centroids: np.ndarray, metric: str = "L2") -> DataFrame:
-    """``vectors`` (id, vector) with list_id, the nearest centroid; no shuffle."""
+    """``vectors`` (id, vector) with list_id, the nearest centroid; no shuffle.  Bad vectors are skipped."""
     held = vectors.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nearest(matrix(b.column(1)), held.value, metric), pa.int64())], ["id", "vector", "list_id"])
+            at, x = good_rows(b.column(1), held.value.shape[1])
+            if len(x):
+                kept = b if at is None else b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(nearest(x, held.value, metric), pa.int64())], ["id", "vector", "list_id"])
 
     return vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "id long, vector array<double>, list_id long")

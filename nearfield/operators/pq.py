@@ -59,18 +59,19 @@ class Codebook:
 
 
 def encode(vectors: DataFrame, book: Codebook) -> DataFrame:
-    """The rows of ``vectors`` (id, vector, and list_id if there) with codes."""
+    """The rows of ``vectors`` (id, vector, and list_id if there) with codes; bad vectors are skipped."""
     listed = "list_id" in vectors.columns
     names = ["id", "list_id", "codes"] if listed else ["id", "codes"]
     held = vectors.sparkSession.sparkContext.broadcast(book)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                codes = held.value.encode_matrix(matrix := knn.matrix(b.column(1))).astype(np.int32)
+            at, x = knn.good_rows(b.column(1), held.value.m * held.value.dsub)
+            if len(x):
+                codes = held.value.encode_matrix(x).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, codes.shape[1]), pa.int32()), pa.array(codes.ravel()))
-                del matrix
-                yield pa.RecordBatch.from_arrays([b.column(0), *([b.column(2)] if listed else []), lists], names)
+                kept = b if at is None else b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([kept.column(0), *([kept.column(2)] if listed else []), lists], names)
 
     source = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), *(["list_id"] if listed else []))
     return source.mapInArrow(run, "id long, " + ("list_id long, " if listed else "") + "codes array<int>")
@@ -90,12 +91,17 @@ def distance_table(queries: DataFrame, book: Codebook) -> DataFrame:
     return queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "query_id long, sub long, code long, distance double")
 
 
-def scan(codes: DataFrame, queries: DataFrame, book: Codebook, k: int, index: IVFIndex | None = None, nprobe: int | None = None) -> DataFrame:
-    """(query_id, rank, id, distance) by table lookup over all codes, or over the lists that an index probes."""
+def scan(codes: DataFrame, queries: DataFrame, book: Codebook, k: int | None, index: IVFIndex | None = None, nprobe: int | None = None) -> DataFrame:
+    """(query_id, rank, id, distance) by table lookup over all codes, or over the lists that an index probes.
+
+    k None: k and nprobe of each query's own row.
+    """
     listed, out = index is not None, None
     source = codes.select("id", "codes", *(["list_id"] if listed else []))
     blocks = index._blocks(queries, k, nprobe) if listed else (knn.block_of(rows, k) for rows in knn.query_blocks(queries))
     for block in blocks:
+        if not len(block.ids):
+            continue
         held = codes.sparkSession.sparkContext.broadcast((block, book.tables(block.vectors)))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -106,18 +112,24 @@ def scan(codes: DataFrame, queries: DataFrame, book: Codebook, k: int, index: IV
                 ids, rows = b.column(0).to_numpy(zero_copy_only=False), knn.matrix(b.column(1)).astype(np.int64)
                 lists = b.column(2).to_numpy(zero_copy_only=False) if listed else np.zeros(len(ids), dtype=np.int64)
                 probes = block.probes if listed else {0: np.arange(len(block.ids))}
+                found = []
                 for c in np.unique(lists).tolist():
                     mine, near = np.flatnonzero(lists == c), probes.get(c, ())
                     for q in near:
                         d = np.zeros(len(mine))
                         for s in range(rows.shape[1]):
                             d += tables[q, s, rows[mine, s]]
-                        top = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), block.ids[q])), pa.array(ids[mine[top]]), pa.array(d[top])], ["query_id", "id", "distance"])
+                        last = min(int(block.k[q]), len(d)) - 1
+                        top = np.flatnonzero(d <= np.partition(d, last)[last])
+                        found.append((np.full(len(top), block.ids[q]), ids[mine[top]], d[top]))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query_id", "id", "distance"])
 
         part = source.mapInArrow(run, "query_id long, id long, distance double")
         out = part if out is None else out.unionByName(part)
-    return knn.ranked(out, k)
+    if out is None:
+        out = source.limit(0).select(F.lit(None).cast("long").alias("query_id"), "id", F.lit(None).cast("double").alias("distance"))
+    return knn.ranked(out, k) if k is not None else knn.ranked(out.join(queries.select("query_id", "k"), "query_id"))
 
 
 def rerank(found: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, metric: str = "L2") -> DataFrame:

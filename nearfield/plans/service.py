@@ -101,16 +101,22 @@ class VectorService:
         return pq.rerank(found, index.lists, queries, topk, index.metric) if rerank_exact else found
 
     def search_batch(self, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Requests (query_id, index, vector, k, nprobe): (results with index, requests whose index is missing)."""
+        """Requests (query_id, index, vector, k, nprobe): (results with index, requests whose index is missing).
+
+        A request of a known index is checked like one of ``search``: k in 1..1000, nprobe of 0 or less means the
+        default, the index's dimension.  A quantised index is searched by its codes.
+        """
         names = [r["index"] for r in requests.select("index").distinct().collect()]
         known, out = [], None
         for name in names:
             try:
-                index = self._index(name)[1]
+                _, index, quantised = self._index(name)
             except NotFound:
                 continue
             known.append(name)
-            part = index.search_batch(requests.filter(F.col("index") == name)).withColumn("index", F.lit(name))
+            own = requests.filter(F.col("index") == name)
+            part = index.search_batch(own) if quantised is None else pq.scan(quantised[1], own, quantised[0], None, index)
+            part = part.withColumn("index", F.lit(name))
             out = part if out is None else out.unionByName(part)
         empty = self.spark.createDataFrame([], "query_id long, rank long, id long, distance double, index string")
         return empty if out is None else out, requests.filter(~F.col("index").isin(known) | F.col("index").isNull())

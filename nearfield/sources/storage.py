@@ -72,10 +72,12 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out = fs.create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(beside, p):
-        raise OSError(f"cannot write {path}")
+    jvm = spark._jvm
+    option = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(option, 1)
+    options[0] = option.OVERWRITE
+    beside, p = fs.makeQualified(beside), fs.makeQualified(p)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()).rename(beside, p, options)
 
 
 def read_text(spark: SparkSession, path: str) -> str:
