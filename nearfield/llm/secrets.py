@@ -4,12 +4,15 @@ Base patterns are found in each whole text: assignments of a secret, access keys
 Structural confirmation then decodes candidates and parses them before it reports spans of its own:
 
 - ``jwt``: three base64url parts whose first decodes to a JSON object with an ``alg`` and whose second
-  decodes to a JSON object;
+  decodes to a JSON object; other letters may stand right before it;
 - ``der``: base64 or hex that decodes to ASN.1 whose nested lengths fill it exactly, with a key's shape (a
   sequence that holds integers, bit strings, octet strings or object identifiers);
 - ``ssh``: base64 that decodes to the magic of a private key file, or to length-prefixed fields that fill it
   exactly and begin with the name of a key type.
 
+Keys may begin inside a run: base64 after a ``/``, hex at any digit.  Base64 of a text that begins as an armoured key
+or a token does is decoded and searched in turn, once; the span is that of the outer base64.
+
 Confirmed spans are added to the base ones, which stay as they are.
 
 Defined results: a null text is empty; offsets are code points, the end exclusive; spans of one kind never
@@ -36,13 +39,17 @@ ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_ASSIGNED = 12
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.[A-Za-z0-9_-]{3,}\.[A-Za-z0-9_-]*")
+#: Base64url that can begin a JSON object, white space before it included.
+TOKEN_START = re.compile(r"e[w-z0-9_-]|[CDI][A-Za-z0-9_-]")
 #: Base64 that can begin a key (0x30, the start of the magic, or a field of under 256 bytes), and one line of it.
-B64_START = re.compile(r"[MbA](?<![A-Za-z0-9+/].)(?:(?<=M)[A-P][A-Za-z0-9+/]{2}|(?<=b)3Bl|(?<=A)AAA)[A-Za-z0-9+/]{20,}")
+B64_START = re.compile(r"[MbA](?<![A-Za-z0-9+].)(?:(?<=M)[A-P][A-Za-z0-9+/]{2}|(?<=b)3Bl|(?<=A)AAA)[A-Za-z0-9+/]{20}")
+#: Base64 of a text that begins with ``-----BEGIN`` or ``eyJ``.
+B64_TEXT = re.compile(r"(?<![A-Za-z0-9+/])(?:LS0tLS1CRUdJT|ZXlK)[A-Za-z0-9+/]{20}")
 B64_LINE = re.compile(r"[A-Za-z0-9+/]+")
 NEXT_LINE = re.compile(r"\r?\n(?=[A-Za-z0-9+/])")
 MIN_B64 = 24
-LONG_HEX = re.compile(r"(?i)(?:30|60)[0-9a-f]{30,}")
+LONG_HEX = re.compile(r"[0-9A-Fa-f]{32,}")
 SSH_MAGIC = b"openssh-key-v1\0"
 SSH_NAMES = (b"ssh-", b"ecdsa-", b"sk-")
 SSH_HEADS = (b"open", b"\0\0\0\x07", b"\0\0\0\x0b", b"\0\0\0\x13", b"\0\0\0\x1a", b"\0\0\0\x22")
@@ -219,11 +226,51 @@ def is_signed_token(s: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(claims, dict)
 
 
-def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
+def token_spans(text: str) -> Iterator[tuple[str, int, int]]:
+    """Signed tokens; each place in the first part where a JSON object can begin is tried."""
+    if text.count(".") < 2:
+        return
+    at = 0
+    while m := TOKEN.search(text, at):
+        at = m.end()
+        for start in TOKEN_START.finditer(text, m.start(1), m.end(1) - 6):
+            head = decode64(text[start.start() : min(m.end(1), start.start() + 8)], True)
+            if head is not None and head.lstrip()[:1] == b"{" and is_signed_token(text[start.start() : m.end()]):
+                yield ("jwt", start.start(), m.end())
+                break
+        else:
+            at = m.end(1) + 1  # the second part may be the first of a token
+
+
+def hex_spans(text: str) -> Iterator[tuple[str, int, int]]:
+    """ASN.1 keys in hex, from any digit of a run on."""
+    for m in LONG_HEX.finditer(text):
+        run, at = m[0], m[0].find("30")
+        while 0 <= at <= len(run) - 32:
+            end = element_end(bytes.fromhex(run[at : at + 12]), 0)
+            if end is not None and 16 <= end <= (len(run) - at) // 2 and is_der_key(bytes.fromhex(run[at : at + 2 * end])):
+                yield ("der", m.start() + at, m.start() + at + 2 * end)
+                at += 2 * end - 1
+            at = run.find("30", at + 1)
+
+
+def encoded_spans(text: str) -> Iterator[tuple[str, int, int]]:
+    """Base64 of texts that hold a key or token: lines of one length and a last one."""
+    at = 0
+    while m := B64_TEXT.search(text, at):
+        run = Wrapped(text, m.start())
+        run.read()
+        while run.lines[-1][0] == run.lines[0][0] and run.read():
+            pass
+        at = run.padded(run.lines[-1][1], len(run.data))
+        inner = confirmed_spans(run.data.decode("latin-1"), False)
+        if inner:
+            yield (inner[0][0], m.start(), at)
+
+
+def confirmed_spans(text: str, decode_texts: bool = True) -> list[tuple[str, int, int]]:
     """Spans of candidates that decode and parse as what they look like."""
-    out = []
-    if "eyJ" in text:
-        out += [("jwt", *m.span()) for m in JWT.finditer(text) if is_signed_token(m[0])]
+    out = list(token_spans(text))
     at = 0
     while m := B64_START.search(text, at):
         run, kind, end = Wrapped(text, m.start()), "der", None
@@ -234,10 +281,10 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
             kind, end = "ssh", ssh_span(run)
         if end is not None:
             out.append((kind, m.start(), end))
-        at = m.end() if end is None else end
-    for m in LONG_HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-            out.append(("der", *m.span()))
+        at = m.start() + 1 if end is None else end
+    out += hex_spans(text)
+    if decode_texts:
+        out += encoded_spans(text)
     return out
 
 

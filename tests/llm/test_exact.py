@@ -175,6 +175,38 @@ def test_structures_are_confirmed():
     assert kinds(broken) == [] and kinds(token.replace("eyJh", "eyJx")) == [] and kinds("A" * 5000) == []
 
 
+def test_keys_inside_runs_and_in_texts():
+    import base64
+    import json
+
+    key = der(0x30, der(0x02, b"\0"), der(0x30, der(0x06, b"\x2a\x86\x48")), der(0x04, bytes(range(120))))
+    b64 = base64.b64encode(key).decode()
+    for before in ("path/", "a/M/MIIE/", "30/"):
+        assert secrets.confirmed_spans(f"{before}{b64} end") == [("der", len(before), len(before + b64))]
+    for before in ("ab", "3060", "30123", "f" * 33):
+        assert secrets.confirmed_spans(f"{before}{key.hex()}ff end") == [("der", len(before), len(before + key.hex()))]
+    part = lambda o: base64.urlsafe_b64encode(o.encode()).decode().rstrip("=")
+    for head in ('{ "alg": "HS256"}', '{\n"alg":"none"}', ' {"alg":"a"}', '\n{"typ":"JWT","alg":"ES256"}'):
+        token = f"{part(head)}.{part(json.dumps({'sub': 'é'}))}.c2ln"
+        for before in ("", "x ", "www.example.", "tokenex"):
+            assert secrets.confirmed_spans(before + token) == [("jwt", len(before), len(before + token))], (head, before)
+    pem = f"-----BEGIN PRIVATE KEY-----\n{wrapped(key, 64)}\n-----END PRIVATE KEY-----\n".encode()
+    for columns in (64, 76, 10**6):
+        outer = wrapped(pem, columns)
+        assert secrets.confirmed_spans(f"x {outer}\n.") == [("der", 2, 2 + len(outer))]
+    assert secrets.confirmed_spans(wrapped(b"-----BEGIN NOTHING-----\n" + b"no key " * 9, 64)) == []
+    assert secrets.confirmed_spans("e" + "w" * 200_000) == [] and secrets.confirmed_spans("30" * 100_000) == []
+
+
+def test_op3_of_nulls_repeats_and_long_texts(spark):
+    key = wrapped(der(0x30, der(0x02, b"\0"), der(0x04, bytes(range(120)))), 64)
+    long = "lorem ipsum " * 50_000
+    rows = [(1, None), (2, ""), (3, key), (3, key), (None, f"é {key}"), (4, long + "password = abcdefghijkl\n" + key)]
+    got = {(r.doc_id, r.spans, r.n_confirmed, r.n_assign) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = len(long) + 24
+    assert got == {(1, "", 0, 0), (2, "", 0, 0), (3, f"der:0:{len(key)}", 1, 0), (None, f"der:2:{2 + len(key)}", 1, 0), (4, f"assign:{len(long)}:{at - 1},der:{at}:{at + len(key)}", 1, 1)}
+
+
 def wrapped(data, columns, brk="\n"):
     import base64
 
