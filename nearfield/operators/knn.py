@@ -173,6 +173,8 @@ def score(vectors: DataFrame, blocks: Iterator[QueryBlock], metric: str, with_li
 
 
 def block_of(rows: list, k: int, probes: dict[int, np.ndarray] | None = None) -> QueryBlock:
+    if not rows:
+        return QueryBlock(np.zeros(0, dtype=np.int64), np.zeros((0, 0)), np.zeros(0, dtype=np.int64), probes)
     sizes = {len(r.vector) if r.vector is not None else 0 for r in rows}
     if 0 in sizes or len(sizes) > 1 or any(v is None for r in rows for v in r.vector):
         raise InvalidArgument("queries must be vectors of one dimension")

@@ -147,3 +147,51 @@ def test_bad_arguments(call):
 
 def test_defaults():
     assert validate.metric_of("") == "L2" and validate.search_request("a", 1000, 0, 1) == 8 and validate.index_config("a", 4) == (1000, 8)
+
+
+def test_bad_vectors_and_queries(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0, 4.0, 5.0]), (3, None), (4, [1.0, 2.0, 3.0, 4.0]), (5, [1.0, None, 3.0, 4.0]), (6, [float("nan"), 2.0, 3.0, 4.0]), (7, [0.0, 0.0, 0.0, 0.0])], "id long, vector array<double>")
+    one = spark.createDataFrame([(0, [1.0, 2.0, 3.0, 4.0])], "query_id long, vector array<double>")
+    assert by_query(knn.search_exact(vectors, one, 5)) == {0: [(0.0, 4), (30.0, 7)]}
+    assert knn.search_exact(vectors, one.limit(0), 5).count() == 0
+    index = IVFIndex.build(vectors.filter("id > 3"), 2)
+    assert sorted(r.id for r in index.add(vectors).lists.collect()) == [4, 4, 7, 7]
+    assert index.search(one.limit(0), 3, 1).count() == 0
+    for bad in ([(0, None)], [(0, [1.0]), (1, [1.0, 2.0])], [(0, [1.0, float("inf"), 0.0, 0.0])], [(0, [1.0, 2.0])]):
+        with pytest.raises(InvalidArgument):
+            index.search(spark.createDataFrame(bad, "query_id long, vector array<double>"), 3, 1)
+
+
+def test_list_topk_with_a_repeated_id(spark):
+    vectors = spark.createDataFrame([(1, [0.0, 0.0]), (2, [9.0, 9.0])], "id long, vector array<double>")
+    index = IVFIndex.build(vectors, 2).add(spark.createDataFrame([(1, [9.0, 8.0])], "id long, vector array<double>"))
+    one = spark.createDataFrame([(0, [0.0, 0.0])], "query_id long, vector array<double>")
+    got = index.list_topk(one, 5, 1).collect()
+    assert [(r.query_id, r.id, r.distance) for r in got] == [(0, 1, 0.0)] and len({r.list_id for r in got}) == 1
+
+
+def test_batch_requests_are_checked(spark, rows):
+    index = IVFIndex.build(rows, 4)
+    ask = lambda k, nprobe: asked(rows, (0,)).withColumns({"k": F.lit(k), "nprobe": F.lit(nprobe)})
+    assert index.search_batch(ask(3, 0)).count() == 3
+    for k in (0, 5000):
+        with pytest.raises(InvalidArgument):
+            index.search_batch(ask(k, 2)).count()
+    book = pq.Codebook.train(rows, 4, 3)
+    assert pq.scan(pq.encode(index.lists, book), ask(3, 0), book, None, index).count() == 3
+
+
+@pytest.mark.parametrize("metric", validate.METRICS)
+def test_the_product_keeps_order_and_ties(metric):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(400, 24)), np.round(rng.normal(size=(400, 24))), np.zeros((2, 24))]) * 10.0 ** rng.integers(-3, 4, size=(802, 1))
+    x[700:720] = x[5]
+    plain = knn.pair_distances(x, x[:40], metric)
+    block = knn.QueryBlock(np.arange(40), x[:40], np.full(40, 7))
+    for q, i, d, _ in knn.nearest_in_batch(np.arange(len(x)), x, None, block, metric):
+        assert (d == plain[i, q]).all()
+        for one in range(40):
+            want = np.lexsort((np.arange(len(x)), plain[:, one]))[:7]
+            some = q == one
+            assert i[some][np.lexsort((i[some], d[some]))][:7].tolist() == want.tolist()
+    assert (kmeans.nearest(x, x[:40], metric) == plain.argmin(axis=1)).all()
