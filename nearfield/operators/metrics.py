@@ -169,7 +169,7 @@ def circuit_breaker(events: DataFrame, threshold: float = BREAKER_THRESHOLD) ->
 
 
 def priority_order(requests: DataFrame) -> DataFrame:
-    """Adds place: higher priority first, then the earlier (numbered from a range-partitioned sort)."""
+    """All requests, higher priority first, then the earlier (a range-partitioned sort)."""
     return requests.orderBy(F.col("priority").desc(), "ts", "event_id")
 
 

@@ -17,7 +17,7 @@ from nearfield.operators import access, kmeans, knn, metrics, pq
 from nearfield.operators.ivf import IVFIndex
 from nearfield.sources import storage
 
-K, NLIST, NPROBE, M, NBITS, DIMENSION = 10, 8, 3, 8, 4, 64
+K, NLIST, NPROBE, M, NBITS, DIMENSION = 10, 8, 7, 8, 4, 64
 
 # ---- inputs ------------------------------------------------------------------------------------------
 
@@ -459,10 +459,10 @@ def circuit_breaker(spark, sf_dir):
     return metrics.circuit_breaker(rows, 0.3)
 
 
-@query(f"WITH {_R} SELECT event_id, (CASE index WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 WHEN 'click' THEN 1 ELSE 0 END)::BIGINT AS priority FROM r ORDER BY priority DESC, ts, event_id LIMIT 100")
+@query(f"WITH {_R} SELECT event_id, (CASE index WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 WHEN 'click' THEN 1 ELSE 0 END)::BIGINT AS priority FROM r ORDER BY priority DESC, ts, event_id")
 def priority_order(spark, sf_dir):
     rows = requests(spark, sf_dir).withColumn("priority", F.when(F.col("index") == "purchase", 3).when(F.col("index") == "signup", 2).when(F.col("index") == "click", 1).otherwise(0).cast("long"))
-    return metrics.priority_order(rows).limit(100).select("event_id", "priority")
+    return metrics.priority_order(rows).select("event_id", "priority")
 
 
 @query(f"WITH {_R} SELECT index, count(*) AS requests FROM r WHERE index NOT IN ('view', 'click') GROUP BY index")
