@@ -18,6 +18,10 @@ from nearfield.operators import kmeans, knn
 from nearfield.operators.ivf import IVFIndex
 
 
+#: Numbers that a task holds at once in distance tables, and in distances.
+HELD = 1 << 22
+
+
 @dataclass
 class Codebook:
     """m x ks x dsub centroids."""
@@ -91,6 +95,20 @@ def distance_table(queries: DataFrame, book: Codebook) -> DataFrame:
     return queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "query_id long, sub long, code long, distance double")
 
 
+def _nearest(tables: np.ndarray, codes: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of the k nearest rows of each query and all that tie with the last of them.
+
+    tables: queries x m x ks.  codes: m x rows.  k: of each query.
+    """
+    d = np.zeros((len(tables), codes.shape[1]))
+    for s, row in enumerate(codes):
+        d += tables[:, s, row]
+    last = np.minimum(k, codes.shape[1]) - 1
+    limit = np.partition(d, np.unique(last), axis=1)[np.arange(len(d)), last]
+    q, r = np.nonzero(d <= limit[:, None])
+    return q, r, d[q, r]
+
+
 def scan(codes: DataFrame, queries: DataFrame, book: Codebook, k: int | None, index: IVFIndex | None = None, nprobe: int | None = None) -> DataFrame:
     """(query_id, rank, id, distance) by table lookup over all codes, or over the lists that an index probes.
 
@@ -102,28 +120,27 @@ def scan(codes: DataFrame, queries: DataFrame, book: Codebook, k: int | None, in
     for block in blocks:
         if not len(block.ids):
             continue
-        held = codes.sparkSession.sparkContext.broadcast((block, book.tables(block.vectors)))
+        held = codes.sparkSession.sparkContext.broadcast((block, book))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            block, tables = held.value
+            block, book = held.value
             for b in batches:
                 if not b.num_rows:
                     continue
-                ids, rows = b.column(0).to_numpy(zero_copy_only=False), knn.matrix(b.column(1)).astype(np.int64)
+                ids, rows = b.column(0).to_numpy(zero_copy_only=False), np.ascontiguousarray(knn.matrix(b.column(1)).astype(np.intp).T)
                 lists = b.column(2).to_numpy(zero_copy_only=False) if listed else np.zeros(len(ids), dtype=np.int64)
-                probes = block.probes if listed else {0: np.arange(len(block.ids))}
-                found = []
-                for c in np.unique(lists).tolist():
-                    mine, near = np.flatnonzero(lists == c), probes.get(c, ())
-                    for q in near:
-                        d = np.zeros(len(mine))
-                        for s in range(rows.shape[1]):
-                            d += tables[q, s, rows[mine, s]]
-                        last = min(int(block.k[q]), len(d)) - 1
-                        top = np.flatnonzero(d <= np.partition(d, last)[last])
-                        found.append((np.full(len(top), block.ids[q]), ids[mine[top]], d[top]))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query_id", "id", "distance"])
+                members = {c: np.flatnonzero(lists == c) for c in np.unique(lists).tolist()}
+                per = max(1, min(HELD // (book.m * book.ks), HELD // len(ids)))
+                for a in range(0, len(block.ids), per):  # tables are made where they are read, so many queries at a time
+                    tables, found = book.tables(block.vectors[a : a + per]), []
+                    for c, mine in members.items():
+                        near = block.probes.get(c, np.zeros(0, dtype=np.int64)) if listed else np.arange(len(block.ids))
+                        near = near[(near >= a) & (near < a + per)]
+                        if len(near):
+                            q, r, d = _nearest(tables[near - a], rows[:, mine], block.k[near])
+                            found.append((block.ids[near[q]], ids[mine[r]], d))
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query_id", "id", "distance"])
 
         part = source.mapInArrow(run, "query_id long, id long, distance double")
         out = part if out is None else out.unionByName(part)

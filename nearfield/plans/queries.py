@@ -17,7 +17,7 @@ from nearfield.operators import access, kmeans, knn, metrics, pq
 from nearfield.operators.ivf import IVFIndex
 from nearfield.sources import storage
 
-K, NLIST, NPROBE, M, NBITS, DIMENSION = 10, 8, 7, 8, 4, 64
+K, NLIST, NPROBE, M, NBITS, DIMENSION = 10, 8, 7, 64, 7, 64
 
 # ---- inputs ------------------------------------------------------------------------------------------
 
@@ -68,18 +68,19 @@ _R = "r AS (SELECT event_type AS index, ts, event_id, value AS latency, event_ty
 _A = "a AS (SELECT l_orderkey::BIGINT AS reader, l_linenumber::BIGINT AS seq, (l_linenumber * 100)::BIGINT AS \"offset\", floor(l_quantity)::BIGINT AS size FROM lineitem)"
 
 
-def _kmeans(points: str, k: int, steps: int) -> str:
+def _kmeans(points: str, k: int, steps: int, tag: str = "") -> str:
     """CTEs from points (sub, id, vector) to c{steps} (sub, c, vector): farthest-first seeds, then Lloyd steps."""
-    out = ["s0 AS MATERIALIZED (SELECT sub, 0 AS c, vector FROM (SELECT *, row_number() OVER (PARTITION BY sub ORDER BY id) AS n FROM {p}) WHERE n = 1)", f"d0 AS MATERIALIZED (SELECT p.sub, p.id, p.vector, {_L2.format('p.vector', 's.vector')} AS far FROM {{p}} p JOIN s0 s USING (sub))"]
+    s, d, c, a, m = (f"{x}{tag}" for x in "sdcam")
+    out = [f"{s}0 AS MATERIALIZED (SELECT sub, 0 AS c, vector FROM (SELECT *, row_number() OVER (PARTITION BY sub ORDER BY id) AS n FROM {points}) WHERE n = 1)", f"{d}0 AS MATERIALIZED (SELECT p.sub, p.id, p.vector, {_L2.format('p.vector', 's.vector')} AS far FROM {points} p JOIN {s}0 s USING (sub))"]
     for i in range(1, k):
-        out.append(f"s{i} AS MATERIALIZED (SELECT sub, {i} AS c, vector FROM (SELECT *, row_number() OVER (PARTITION BY sub ORDER BY far DESC, id) AS n FROM d{i - 1}) WHERE n = 1)")
-        out.append(f"d{i} AS MATERIALIZED (SELECT p.sub, p.id, p.vector, least(p.far, {_L2.format('p.vector', 's.vector')}) AS far FROM d{i - 1} p JOIN s{i} s USING (sub))")
-    out.append("c0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(k)) + ")")
+        out.append(f"{s}{i} AS MATERIALIZED (SELECT sub, {i} AS c, vector FROM (SELECT *, row_number() OVER (PARTITION BY sub ORDER BY far DESC, id) AS n FROM {d}{i - 1}) WHERE n = 1)")
+        out.append(f"{d}{i} AS MATERIALIZED (SELECT p.sub, p.id, p.vector, least(p.far, {_L2.format('p.vector', 's.vector')}) AS far FROM {d}{i - 1} p JOIN {s}{i} s USING (sub))")
+    out.append(f"{c}0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM {s}{i}" for i in range(k)) + ")")
     for t in range(1, steps + 1):
-        out.append(f"a{t} AS MATERIALIZED (SELECT p.sub, p.id, any_value(p.vector) AS vector, min({{{{'d': {_L2.format('p.vector', 'c.vector')}, 'c': c.c}}}}).c AS c FROM {{p}} p JOIN c{t - 1} c USING (sub) GROUP BY p.sub, p.id)")
-        out.append(f"m{t} AS (SELECT sub, c, list(x ORDER BY pos) AS vector FROM (SELECT sub, c, pos, round(avg(x), 9) AS x FROM (SELECT sub, c, unnest(vector) AS x, generate_subscripts(vector, 1) AS pos FROM a{t}) GROUP BY ALL) GROUP BY ALL)")
-        out.append(f"c{t} AS MATERIALIZED (SELECT c.sub, c.c, coalesce(m.vector, c.vector) AS vector FROM c{t - 1} c LEFT JOIN m{t} m ON c.sub = m.sub AND c.c = m.c)")
-    return ", ".join(out).format(p=points)
+        out.append(f"{a}{t} AS MATERIALIZED (SELECT p.sub, p.id, any_value(p.vector) AS vector, min({{'d': {_L2.format('p.vector', 'c.vector')}, 'c': c.c}}).c AS c FROM {points} p JOIN {c}{t - 1} c USING (sub) GROUP BY p.sub, p.id)")
+        out.append(f"{m}{t} AS (SELECT sub, c, list(x ORDER BY pos) AS vector FROM (SELECT sub, c, pos, round(avg(x), 9) AS x FROM (SELECT sub, c, unnest(vector) AS x, generate_subscripts(vector, 1) AS pos FROM {a}{t}) GROUP BY ALL) GROUP BY ALL)")
+        out.append(f"{c}{t} AS MATERIALIZED (SELECT c.sub, c.c, coalesce(m.vector, c.vector) AS vector FROM {c}{t - 1} c LEFT JOIN {m}{t} m ON c.sub = m.sub AND c.c = m.c)")
+    return ", ".join(out)
 
 
 _KM = f"{_V}, points AS (SELECT 0 AS sub, id, vector FROM v), {_kmeans('points', NLIST, kmeans.ITERATIONS)}, cent AS MATERIALIZED (SELECT c AS list_id, vector FROM c{kmeans.ITERATIONS})"
@@ -105,8 +106,9 @@ def _ivf_pairs(metric: str, nprobe: str = str(NPROBE)) -> str:
     return f"SELECT q.query_id, l.id, {_d(metric, 'l.vector', 'q.vector')} AS distance FROM q JOIN probes p ON p.query_id = q.query_id AND probe_rank <= {nprobe} JOIN lists l ON l.list_id = p.list_id"
 
 
-_PQ = f"{_V}, points AS MATERIALIZED (SELECT sub, id, list_slice(vector, sub * {DIMENSION // M} + 1, (sub + 1) * {DIMENSION // M}) AS vector FROM v CROSS JOIN (SELECT unnest(range({M})) AS sub)), {_kmeans('points', 2**NBITS, kmeans.ITERATIONS)}, book AS MATERIALIZED (SELECT sub, c AS code, vector FROM c{kmeans.ITERATIONS})"
-_CODES = f"codes AS MATERIALIZED (SELECT p.sub, p.id, min({{'d': {_L2.format('p.vector', 'b.vector')}, 'c': b.code}}).c AS code FROM points p JOIN book b USING (sub) GROUP BY p.sub, p.id)"
+_BOOK = f"subs AS MATERIALIZED (SELECT sub, id, list_slice(vector, sub * {DIMENSION // M} + 1, (sub + 1) * {DIMENSION // M}) AS vector FROM v CROSS JOIN (SELECT unnest(range({M})) AS sub)), {_kmeans('subs', 2**NBITS, kmeans.ITERATIONS, 'q')}, book AS MATERIALIZED (SELECT sub, c AS code, vector FROM cq{kmeans.ITERATIONS})"
+_PQ = f"{_V}, {_BOOK}"
+_CODES = f"codes AS MATERIALIZED (SELECT p.sub, p.id, min({{'d': {_L2.format('p.vector', 'b.vector')}, 'c': b.code}}).c AS code FROM subs p JOIN book b USING (sub) GROUP BY p.sub, p.id)"
 _TABLE = f"tab AS MATERIALIZED (SELECT q.query_id, b.sub, b.code, {_L2.format(f'list_slice(q.vector, b.sub * {DIMENSION // M} + 1, (b.sub + 1) * {DIMENSION // M})', 'b.vector')} AS d FROM q CROSS JOIN book b)"
 _ADC = "SELECT t.query_id, c.id, list_sum(list(t.d ORDER BY c.sub)) AS distance FROM codes c JOIN tab t ON t.sub = c.sub AND t.code = c.code GROUP BY t.query_id, c.id"
 
@@ -403,7 +405,7 @@ def pq_rerank(spark, sf_dir):
     return _near(pq.rerank(pq.scan(pq.encode(rows, book), asked(rows), book, 4 * K), rows, asked(rows), K))
 
 
-@query()
+@query(f"WITH {_KM}, {_assign()}, {_probes()}, {_BOOK}, {_CODES}, {_TABLE} {_top(f'SELECT t.query_id, c.id, list_sum(list(t.d ORDER BY c.sub)) AS distance FROM codes c JOIN lists l ON l.id = c.id JOIN probes p ON p.list_id = l.list_id AND probe_rank <= {NPROBE} JOIN tab t ON t.query_id = p.query_id AND t.sub = c.sub AND t.code = c.code GROUP BY t.query_id, c.id')}")
 def ivfpq_search(spark, sf_dir):
     book, rows = _book(spark, sf_dir)
     index = IVFIndex.build(rows, NLIST)
@@ -448,15 +450,36 @@ def adaptive_batch_size(spark, sf_dir):
     return metrics.adaptive_batch_size(requests(spark, sf_dir).withColumn("load", F.col("latency") / 500)).select("event_id", "batch_size")
 
 
-@query()
-def rate_limit(spark, sf_dir):
-    return metrics.rate_limit(requests(spark, sf_dir), per_second=1, burst=5)
+PER_SECOND, BURST, FAILING = 1, 5, 0.3
 
 
-@query()
+@query(f"""WITH RECURSIVE {_R}, e AS MATERIALIZED (SELECT index, event_id, epoch_us(ts) * 1000 AS ns, row_number() OVER (PARTITION BY index ORDER BY ts, event_id) AS n FROM r),
+f AS (SELECT index, 0::BIGINT AS n, ns AS since, {BURST}::BIGINT AS tokens, NULL::BIGINT AS event_id, NULL::BOOLEAN AS admitted FROM e WHERE n = 1
+  UNION ALL SELECT index, n, CASE WHEN gone >= {10**9 // PER_SECOND} THEN ns ELSE since END, had - (had >= 1)::BIGINT, event_id, had >= 1
+  FROM (SELECT *, CASE WHEN gone >= {10**9 // PER_SECOND} THEN least({BURST}, tokens + gone // {10**9 // PER_SECOND}) ELSE tokens END AS had
+    FROM (SELECT e.index, e.n, e.event_id, e.ns, f.since, f.tokens, e.ns - f.since AS gone FROM f JOIN e ON e.index IS NOT DISTINCT FROM f.index AND e.n = f.n + 1)))
+SELECT index, event_id, admitted FROM f WHERE n > 0""")
+def rate_limit(spark, sf_dir):
+    return metrics.rate_limit(requests(spark, sf_dir), PER_SECOND, BURST)
+
+
+@query(f"""WITH RECURSIVE {_R}, e AS MATERIALIZED (SELECT user_id, event_id, epoch_us(ts) // 1000 AS now, failed AS bad_now, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM r),
+f AS (SELECT user_id, 0::BIGINT AS n, 0::BIGINT AS ok, 0::BIGINT AS bad, 0::BIGINT AS last, false AS open, now + {metrics.BREAKER_CHECK_MS} AS due, NULL::BIGINT AS event_id FROM e WHERE n = 1
+  UNION ALL SELECT user_id,
+    CASE WHEN checks THEN n ELSE n + 1 END,
+    CASE WHEN anew THEN 1 WHEN checks THEN trunc(ok * {metrics.BREAKER_DECAY}::DOUBLE)::BIGINT ELSE ok2 END,
+    CASE WHEN anew THEN 0 WHEN checks THEN trunc(bad * {metrics.BREAKER_DECAY}::DOUBLE)::BIGINT ELSE bad2 END,
+    CASE WHEN NOT checks AND bad_now THEN now ELSE last END,
+    CASE WHEN anew THEN false WHEN checks THEN open WHEN bad_now THEN (open AND now - last <= {metrics.BREAKER_TIMEOUT_MS}) OR bad2 / (ok2 + bad2) > {FAILING}::DOUBLE
+         ELSE open AND now - last <= {metrics.BREAKER_TIMEOUT_MS} AND NOT bad2 / (ok2 + bad2) < {FAILING}::DOUBLE END,
+    CASE WHEN checks AND ok = 0 AND bad = 0 AND NOT open THEN due + ((now - due) // {metrics.BREAKER_CHECK_MS} + 1) * {metrics.BREAKER_CHECK_MS} WHEN checks THEN due + {metrics.BREAKER_CHECK_MS} ELSE due END,
+    CASE WHEN NOT checks THEN event_id END
+  FROM (SELECT f.* EXCLUDE (event_id), e.event_id, e.now, e.bad_now, f.due <= e.now AS checks, f.due <= e.now AND f.open AND f.due - f.last > {2 * metrics.BREAKER_TIMEOUT_MS} AS anew,
+      f.ok + (NOT e.bad_now)::BIGINT AS ok2, f.bad + e.bad_now::BIGINT AS bad2 FROM f JOIN e ON e.user_id IS NOT DISTINCT FROM f.user_id AND e.n = f.n + 1))
+SELECT user_id::VARCHAR AS index, event_id, open FROM f WHERE event_id IS NOT NULL""")
 def circuit_breaker(spark, sf_dir):
     rows = requests(spark, sf_dir).withColumn("index", F.col("user_id").cast("string"))
-    return metrics.circuit_breaker(rows, 0.3)
+    return metrics.circuit_breaker(rows, FAILING)
 
 
 @query(f"WITH {_R} SELECT event_id, (CASE index WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 WHEN 'click' THEN 1 ELSE 0 END)::BIGINT AS priority FROM r ORDER BY priority DESC, ts, event_id")

@@ -31,3 +31,10 @@ def test_query(spark, duck, name):
         want = duck.execute(queries.SQL[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+@pytest.mark.parametrize(("name", "exact"), [("ivf_search_l2", "l2"), ("ivf_search_ip", "ip"), ("ivf_search_cosine", "cosine"), ("pq_scan", "l2"), ("pq_rerank", "l2"), ("ivfpq_search", "l2")])
+def test_recall_of_approximate_searches(spark, name, exact):
+    pairs = [{(r.query_id, r.id) for r in queries.Q[q](spark, "/root/testdata/sf0.1").collect()} for q in (name, f"knn_bruteforce_{exact}")]
+    assert len(pairs[0] & pairs[1]) >= 0.9 * len(pairs[1])
