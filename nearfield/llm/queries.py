@@ -51,24 +51,24 @@ def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Fixed rules of op5.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-URL_STEPS = 6
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page: a rule's, else its host's in the link graph."""
-    return url_filter.judge(_read(spark, sf_dir, "pages"), URL_RULES, steps=URL_STEPS)
+    return url_filter.judge(_read(spark, sf_dir, "pages"), URL_RULES)
 
 
 def _op5_sql() -> str:
+    last = url_filter.steps_of(url_filter.TOLERANCE, 85)
     cases = sorted(URL_RULES, key=lambda r: -len(r[1]))
     fit = lambda r: "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')".format(r.partition("/")[0], "/" + r.partition("/")[2])
     case = lambda i: "CASE " + " ".join(f"WHEN {fit(r[1])} THEN '{r[i]}'" for r in cases) + " END"
     steps = "".join(
         f""", s{i + 1} AS MATERIALIZED (
   SELECT walk, host, sum(score)::BIGINT AS score FROM (
-    SELECT walk, dst AS host, ((score * share // 1000000) * 85 // 100)::BIGINT AS score FROM s{i} JOIN shares USING (walk, host)
-    UNION ALL SELECT walk, host, (seed * 15 // 100)::BIGINT FROM seeds) GROUP BY ALL)"""
-        for i in range(URL_STEPS)
+    SELECT walk, dst AS host, (score::HUGEINT * (n * 85) // (total::HUGEINT * 100))::BIGINT AS score FROM s{i} JOIN shares USING (walk, host)
+    UNION ALL SELECT walk, host, (seed::HUGEINT * 15 // 100)::BIGINT FROM seeds) GROUP BY ALL)"""
+        for i in range(last)
     )
     return rf"""
 WITH p AS (
@@ -79,11 +79,11 @@ links AS (SELECT host, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<a\s[^
 ends AS (SELECT host AS src, translate(regexp_extract(link, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS a FROM links),
 edges AS (SELECT src, CASE WHEN a = '' THEN src ELSE a END AS dst, count(*) AS n FROM ends GROUP BY ALL),
 both_ways AS (SELECT 'trust' AS walk, src AS host, dst, n FROM edges UNION ALL SELECT 'distrust', dst, src, n FROM edges),
-shares AS MATERIALIZED (SELECT walk, host, dst, floor(1000000 * (n::DOUBLE / sum(n) OVER (PARTITION BY walk, host)::DOUBLE))::BIGINT AS share FROM both_ways),
+shares AS MATERIALIZED (SELECT walk, host, dst, n, sum(n) OVER (PARTITION BY walk, host) AS total FROM both_ways),
 counted AS (SELECT CASE ruled WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS walk, host, count(*) AS n FROM ruled WHERE ruled IS NOT NULL GROUP BY ALL),
-seeds AS MATERIALIZED (SELECT walk, host, floor(1000000000000::DOUBLE * (n::DOUBLE / sum(n) OVER (PARTITION BY walk)::DOUBLE))::BIGINT AS seed FROM counted),
+seeds AS MATERIALIZED (SELECT walk, host, (n::HUGEINT * {url_filter.FINE_MASS} // sum(n) OVER (PARTITION BY walk))::BIGINT AS seed FROM counted),
 s0 AS (SELECT walk, host, seed AS score FROM seeds){steps},
-bad AS (SELECT host FROM s{URL_STEPS} GROUP BY host HAVING coalesce(sum(score) FILTER (walk = 'distrust'), 0) > coalesce(sum(score) FILTER (walk = 'trust'), 0))
+bad AS (SELECT host FROM s{last} GROUP BY host HAVING coalesce(sum(score) FILTER (walk = 'distrust'), 0) > coalesce(sum(score) FILTER (walk = 'trust'), 0))
 SELECT page_id, ruled.host, path, rule, coalesce(ruled, CASE WHEN bad.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled LEFT JOIN bad ON ruled.host = bad.host
 """

@@ -11,6 +11,10 @@ sums do not depend on the order of rows and a retried task gives the same scores
 keyed by (walk, host); host edges are aggregated before they shuffle, so a host with a third of the pages
 adds one partial row per task and pair.  Mass on a host without links is dropped.
 
+A walk ends where a step changes no score, or where what its later steps could still move, ``keep_percent`` to
+the power of the steps, is below ``tolerance`` of all mass; either way the number of steps follows from the
+links and the tolerance, not from the size of the table.
+
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed;
 null html has no links; a page without a scheme in a link links to its own host; repeated rows are judged
 alike; an empty table gives no rows; other columns are carried only where asked for.
@@ -18,6 +22,8 @@ alike; an empty table gives no rows; other columns are carried only where asked
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +31,10 @@ from nearfield.llm.common import ascii_lower, materialize
 
 #: Total score, and parts of a share, of walks with rounded shares; total score of those with exact ones.
 MASS, PARTS, FINE_MASS = 10**12, 10**6, 10**18
+#: Part of all mass that a walk may leave unmoved.
+TOLERANCE = 0.001
+#: Steps of a walk between two written tables.
+STRETCH = 6
 #: More rules than this belong in a table that is joined, not in an expression.
 MAX_RULES = 1000
 
@@ -57,9 +67,16 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select(F.col("host").alias("src"), F.when(absolute == "", F.col("host")).otherwise(ascii_lower(absolute)).alias("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
+def steps_of(tolerance: float, keep_percent: int) -> int:
+    """Steps after which less than ``tolerance`` of all mass can still move."""
+    return math.ceil(math.log(tolerance) / math.log(keep_percent / 100))
+
+
 def propagate(edges: DataFrame, seeds: DataFrame, steps: int, keep_percent: int, parts: int | None = PARTS) -> DataFrame:
     """(walk, host, score) after ``steps`` steps; seeds: (walk, host, n), walk ``trust`` or ``distrust``.
 
+    Steps that would change no score are left out.
+
     parts: shares of links are rounded down to so many parts of a total of ``MASS``, so that a link with less
     than one part passes nothing; None: shares are exact, of a total of ``FINE_MASS``.
     """
@@ -76,26 +93,32 @@ def propagate(edges: DataFrame, seeds: DataFrame, steps: int, keep_percent: int,
     start = materialize(seeds.join(totals, "walk").select("walk", "host", seed.alias("seed")), "url-seeds")
     base = start.select("walk", "host", F.expr(first).alias("score"))
     scores = start.select("walk", "host", F.col("seed").alias("score"))
-    for i in range(steps):
+    for i in range(1, steps + 1):
         moved = scores.join(shares, ["walk", "host"]).select("walk", F.col("to").alias("host"), F.expr(passed).alias("score"))
-        scores = moved.unionByName(base).groupBy("walk", "host").agg(F.sum("score").alias("score"))
-        if i % 3 == 2:
-            scores = materialize(scores, f"url-scores-{i}")
+        parted = moved.unionByName(base)
+        if i % STRETCH:
+            scores = parted.groupBy("walk", "host").agg(F.sum("score").alias("score"))
+            continue
+        both_steps = parted.withColumn("before", F.lit(0).cast("long")).unionByName(scores.select("walk", "host", F.lit(0).cast("long").alias("score"), F.col("score").alias("before")))
+        step = materialize(both_steps.groupBy("walk", "host").agg(F.sum("score").alias("score"), F.sum("before").alias("before")), f"url-scores-{i}")
+        scores = step.select("walk", "host", "score")
+        if step.filter("score <> before").isEmpty():
+            break
     return scores
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], steps: int = 6, keep_percent: int = 85, ratio: int = 1) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], tolerance: float = TOLERANCE, keep_percent: int = 85, ratio: int = 1, steps: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict of every page.
 
-    rules: (``allow`` or ``block``, ``host/path``).  steps: of the walks.  keep_percent: of the mass that
-    follows links in a step (the damping).  ratio: distrust above so many times the trust blocks a host.
+    rules: (``allow`` or ``block``, ``host/path``).  tolerance: part of all mass that the walks may leave
+    unmoved.  steps: of the walks, instead.  keep_percent: of the mass that follows links in a step (the damping).  ratio: distrust above so many times the trust blocks a host.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), F.col("html"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
     seeds = ruled.filter("ruled IS NOT NULL").groupBy(F.when(F.col("ruled") == "allow", "trust").otherwise("distrust").alias("walk"), "host").agg(F.count(F.lit(1)).alias("n"))
-    scores = propagate(materialize(host_edges(rows), "url-edges"), seeds, steps, keep_percent, parts=None)
+    scores = propagate(materialize(host_edges(rows), "url-edges"), seeds, steps_of(tolerance, keep_percent) if steps is None else steps, keep_percent, parts=None)
     by_host = scores.groupBy("host").agg(F.sum(F.when(F.col("walk") == "trust", F.col("score")).otherwise(0)).alias("trust"), F.sum(F.when(F.col("walk") == "distrust", F.col("score")).otherwise(0)).alias("distrust"))
     blocked = by_host.filter(F.col("distrust") > F.col("trust").cast("decimal(19,0)") * ratio).select("host", F.lit(True).alias("bad"))
     return ruled.join(blocked, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))

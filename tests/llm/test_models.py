@@ -94,6 +94,23 @@ def test_exact_walks_against_fractions(spark):
     assert set(got) == set(score) and all(abs(got[h] - s * url_filter.FINE_MASS) < 50 for h, s in score.items())
 
 
+def test_judged_as_by_sql_over_links(spark):
+    """A random graph and a chain of 30 hosts to a blocked one, which walks of six steps would not pass."""
+    import duckdb
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    hosts = [f"h{i}.test" for i in range(40)] + ["a.example.com", "example.com", "x.net", "x.example.net", "y.org"]
+    rows = [(i, f"http://{hosts[rng.integers(len(hosts))]}/{rng.choice(['en', 'de', 'es'])}/{rng.integers(10)}", " ".join(f"<a href=http://{hosts[j]}/>" for j in rng.integers(0, len(hosts), rng.integers(0, 6)))) for i in range(300)]
+    rows += [(1000 + i, f"http://c{i}.chain/", f"<a href=//c{i + 1}.chain/>") for i in range(30)] + [(1030, "http://c30.chain/", "<a href=http://z.org/es/1>"), (1031, "http://z.org/es/1", None)]
+    pages = pd.DataFrame(rows, columns=["page_id", "url", "html"])  # noqa: F841
+    want = sorted(map(tuple, duckdb.sql(queries.ORACLE_SQL["op5_url_filter"]).df().astype(object).replace({np.nan: None})[["page_id", "host", "path", "rule", "verdict"]].itertuples(index=False)))
+    got = sorted(tuple(r) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), queries.URL_RULES).collect())
+    assert got == want
+    verdicts = {r[0]: r[4] for r in got}
+    assert all(verdicts[1000 + i] == "block" for i in range(31)) and len({v for i, v in verdicts.items() if i < 300}) == 2
+
+
 # ---- 7 quality ---------------------------------------------------------------------------------------
 
 
