@@ -34,6 +34,24 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+_OP6_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP6_SQL = f"""
+WITH items AS (SELECT item_id, {_OP6_WORDS} AS words FROM benchmark),
+windows AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(len(words), 10) AS n, array_to_string(list_slice(words, i, i + least(len(words), 10) - 1), ' ') AS window
+  FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM items WHERE len(words) > 0)),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS doc, doc_id, {_OP6_WORDS} AS words FROM documents),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM docs CROSS JOIN sizes),
+found AS MATERIALIZED (SELECT doc, i, w.n, item_id FROM (SELECT doc, n, i, array_to_string(list_slice(words, i, i + n - 1), ' ') AS window FROM places) p JOIN windows w ON w.n = p.n AND w.window = p.window),
+hits AS (SELECT doc, count(DISTINCT pos) AS n_hit FROM (SELECT doc, unnest(range(i, i + n)) AS pos FROM found) GROUP BY doc),
+named AS (SELECT doc, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc, item_id::VARCHAR AS item FROM found) GROUP BY doc)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (doc) LEFT JOIN named USING (doc)
+"""
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of all documents."""
     return quality.scored(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels")).select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "score", "predicted")
@@ -149,6 +167,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_url_filter": _op5_sql(),
+    "op6_decontamination": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op10_chat_format": OP10_SQL,
 }
