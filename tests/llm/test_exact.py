@@ -363,8 +363,10 @@ def test_hits_of_odd_documents(spark, docs, no_docs):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     want = slow_hits(ROWS, ITEMS)
     assert plain(decontaminate.report(docs, bench), *REPORT) == want
-    blocks = decontaminate.find(docs.withColumn("row_id", F.lit(0)), bench, block_bytes=60, shard_words=20)
-    assert plain(blocks, "doc_id", "n_words", "n_hit") == sorted((r[:3] for r in want), key=lambda r: tuple((v is None, v) for v in r))
+    for shard_bytes, most_words in ((100, 20), (1 << 22, 37)):
+        blocks = decontaminate.find(docs.withColumn("row_id", F.lit(0)), bench, block_bytes=60, shard_bytes=shard_bytes, most_words=most_words)
+        told = blocks.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+        assert plain(told, *REPORT) == want
     assert decontaminate.report(no_docs, bench).count() == 0
     assert decontaminate.report(docs, bench.limit(0)).filter("contaminated OR n_items > 0").count() == 0
     kept = decontaminate.kept_documents(docs, bench)
