@@ -9,6 +9,11 @@ the state is read back as a table; each hit is then checked on its full bytes ag
 that the locator names.  Should two texts share a digest, the rows of that digest are grouped by their full
 texts instead.  All steps are DataFrame functions.
 
+With a ``folder`` the staged table and the state outlive the call: a later call stages its documents beside the
+earlier ones, the stream goes on from its own checkpoint and reads the new files alone, and the new rows are
+judged against all that were ever staged.  A call that was cut short is taken up by the next: what it staged
+counts as staged before.  Under ``max`` a new row may replace one that an earlier call kept.
+
 Defined results: a null text equals the empty text; of equal texts the largest (or smallest) doc_id stays, a
 null doc_id only among null doc_ids, and of repeated rows exactly one; an empty table gives no rows.  Other
 columns are carried inside a struct, so their names cannot clash.
@@ -45,38 +50,55 @@ def _order(keep: str) -> Column:
     return F.coalesce(F.col("doc_id"), F.lit(-(1 << 63) if keep == "max" else (1 << 63) - 1))
 
 
-def stage(docs: DataFrame, digest=F.unhex) -> DataFrame:
-    """The staged table: row_id (the locator), doc_id, text_sha256, digest, content, and the row's other columns as struct ``doc``."""
+def stage(docs: DataFrame, digest=F.unhex, folder: str | None = None) -> tuple[DataFrame, int]:
+    """(staged, base): row_id (the locator), doc_id, text_sha256, digest, content, and the row's other columns as struct ``doc``; rows of this call have row_id >= base."""
     content = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.sha2(content, 256).alias("text_sha256"), F.col("text").alias("text"), F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("doc"))
-    return materialize(rows.withColumn("digest", digest(F.col("text_sha256"))), "exact-staged")
-
-
-def keep_state(staged: DataFrame, keep: str, bytes_per_batch: int) -> DataFrame:
-    """Run the stream over the staged table; its final state as a table (digest, locator, keep_id, group_size)."""
+    rows = rows.withColumn("digest", digest(F.col("text_sha256")))
+    if folder is None:
+        return materialize(rows, "exact-staged"), 0
+    spark, path = docs.sparkSession, f"{folder.rstrip('/')}/staged"
+    # exists before the stream does, with the schema that the first call gave it
+    rows.limit(0).write.mode("append").parquet(path)
+    base = spark.read.schema("row_id long").parquet(path).agg(F.coalesce(F.max("row_id") + 1, F.lit(0))).head()[0]
+    rows.withColumn("row_id", F.col("row_id") + F.lit(base)).write.mode("append").option("compression", "zstd").parquet(path)
+    staged = spark.read.schema(rows.schema).parquet(path)
+    staged._scratch_path = path
+    return staged, base
+
+
+def keep_state(staged: DataFrame, keep: str, bytes_per_batch: int, folder: str | None = None) -> DataFrame:
+    """Run the stream over what is new in the staged table; its state as a table (digest, locator, keep_id, group_size)."""
     spark = staged.sparkSession
-    where = scratch_path(spark, "exact-state")
+    where = scratch_path(spark, "exact-state") if folder is None else f"{folder.rstrip('/')}/state-{keep}"
     pick = F.max_by if keep == "max" else F.min_by
     with conf_of(spark, STATE_CONF):
         rows = spark.readStream.schema(staged.schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(staged._scratch_path)
         kept = rows.select("digest", "row_id", "doc_id").groupBy("digest").agg(pick("row_id", _order(keep)).alias("locator"), F.count(F.lit(1)).alias("group_size"))
         query = kept.writeStream.outputMode("update").format("noop").option("checkpointLocation", where).trigger(availableNow=True).start()
         query.awaitTermination()
-        if query.lastProgress is None or not staged.head(1):
-            delete(spark, where)
+        if not staged.head(1):
+            if folder is None:
+                delete(spark, where)
             return staged.limit(0).select("digest", F.col("row_id").alias("locator"), F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"))
         state = spark.read.format("statestore").load(where)
         named = state.select(F.col("key.digest").alias("digest"), F.col("value.valueWithExtremumOrdering").alias("locator"), F.col("value.extremumOrdering").alias("o"), F.col("value.count").alias("group_size"))
         out = materialize(named.withColumn("keep_id", F.when(F.col("o") != (-(1 << 63) if keep == "max" else (1 << 63) - 1), F.col("o"))).drop("o"), "exact-kept")
-    delete(spark, where)
+    if folder is None:
+        delete(spark, where)
     return out
 
 
-def colliding(staged: DataFrame, state: DataFrame) -> DataFrame:
-    """The digests under which a check of the full bytes against the located content fails (none, for SHA-256); written once."""
+def colliding(staged: DataFrame, state: DataFrame, base: int = 0) -> DataFrame:
+    """The digests under which a check of the full bytes against the located content fails (none, for SHA-256); written once.
+
+    base: rows before it were checked by earlier calls; they are fetched only where they hold the located content,
+    or where a new row has become the located one.
+    """
     groups = state.filter("group_size > 1").select("digest", "locator")
     with conf_of(staged.sparkSession, FETCH_CONF):
-        hits = materialize(staged.select("row_id", "digest", F.coalesce("text", F.lit("")).alias("content")).join(groups, "digest"), "exact-hits")
+        met = staged.select("row_id", "digest", F.coalesce("text", F.lit("")).alias("content")).join(groups, "digest")
+        hits = materialize(met.filter((F.greatest("row_id", "locator") >= base) | (F.col("row_id") == F.col("locator"))) if base else met, "exact-hits")
     located = hits.filter("row_id = locator").select("digest", F.col("content").alias("located"))
     # made distinct after it is written: an aggregation in the join's own stage would keep a hot digest in one task
     out = materialize(hits.filter("row_id <> locator").join(located, "digest").filter(F.col("content") != F.col("located")).select("digest"), "exact-collisions")
@@ -90,30 +112,36 @@ def batch_bytes(spark: SparkSession) -> int:
     return 16 * split * spark.sparkContext.defaultParallelism
 
 
-def deduplicate(docs: DataFrame, keep: str = "max", bytes_per_batch: int | None = None, digest=F.unhex) -> tuple[DataFrame, DataFrame]:
+def deduplicate(docs: DataFrame, keep: str = "max", bytes_per_batch: int | None = None, digest=F.unhex, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(judged, staged): row_id, doc_id, text_sha256, locator, keep_id, group_size, kept of each row; the staged table.
 
     keep: which doc_id of equal texts stays, ``max`` or ``min``.  bytes_per_batch: staged bytes that one
     micro-batch reads (None: by the cores of the cluster).  digest: makes the state's key from the SHA-256 in hex; a weak one costs checks, but
-    never gives other results.
+    never gives other results.  folder: a shared folder that keeps the staged table and the state for later calls
+    (one at a time, always with the same ``keep`` and ``digest``); None: they are scratch tables.
     """
-    staged = stage(docs, digest)
-    state = keep_state(staged, keep, bytes_per_batch or batch_bytes(docs.sparkSession))
-    rows = staged.select("row_id", "doc_id", "text_sha256", "digest")
-    clash = colliding(staged, state)
+    staged, base = stage(docs, digest, folder)
+    state = keep_state(staged, keep, bytes_per_batch or batch_bytes(docs.sparkSession), folder)
+    new = staged.filter(F.col("row_id") >= base) if base else staged
+    rows = new.select("row_id", "doc_id", "text_sha256", "digest")
+    clash = colliding(staged, state, base)
+    if folder is not None:  # a digest that once collided stays split
+        known = f"{folder.rstrip('/')}/collisions"
+        clash.write.mode("append").parquet(known)
+        clash = docs.sparkSession.read.schema(clash.schema).parquet(known).distinct()
     judged = rows.join(state, "digest")
     if not clash.isEmpty():
         pick = F.max_by if keep == "max" else F.min_by
         pair = pick(F.struct("row_id", "doc_id"), _order(keep))
         texts = staged.select("row_id", "doc_id", "text_sha256", "digest", F.coalesce("text", F.lit("")).alias("content")).join(clash, "digest", "left_semi")
         groups = texts.groupBy("digest", "content").agg(pair.alias("p"), F.count(F.lit(1)).alias("group_size")).select("digest", "content", F.col("p.row_id").alias("locator"), F.col("p.doc_id").alias("keep_id"), "group_size")
-        judged = rows.join(clash, "digest", "left_anti").join(state, "digest").unionByName(texts.join(groups, ["digest", "content"]).drop("content"))
+        judged = rows.join(clash, "digest", "left_anti").join(state, "digest").unionByName(texts.filter(F.col("row_id") >= base).join(groups, ["digest", "content"]).drop("content"))
     return judged.select("row_id", "doc_id", "text_sha256", "locator", "keep_id", "group_size", (F.col("row_id") == F.col("locator")).alias("kept")), staged
 
 
-def kept_documents(docs: DataFrame, keep: str = "max") -> DataFrame:
+def kept_documents(docs: DataFrame, keep: str = "max", folder: str | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with its columns."""
-    judged, staged = deduplicate(docs, keep)
+    judged, staged = deduplicate(docs, keep, folder=folder)
     stay = judged.filter("kept").select("row_id")
     whole = staged.join(stay, "row_id", "left_semi")
     return whole.select(*[F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])

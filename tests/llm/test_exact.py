@@ -411,6 +411,19 @@ def test_micro_batches_keep_state(spark):
     assert judged.count() == 400 and staged.count() == 400
 
 
+@pytest.mark.parametrize("digest", [F.unhex, lambda s: s.substr(1, 1)], ids=["sha256", "weak"])
+def test_state_outlives_a_call(spark, no_docs, tmp_path, digest):
+    folder = str(tmp_path / "seen")
+    more = [(20 + i, f"new text {i % 9}", "en") for i in range(30)] + [(90, ROWS[0][1], "en"), (0, "", "en"), (None, None, None)]
+    seen = []
+    for rows, df in ((ROWS[:7], documents(spark, ROWS[:7])), ([], no_docs), (ROWS[7:], documents(spark, ROWS[7:])), (more, documents(spark, more))):
+        seen += rows
+        judged, staged = exact_dedup.deduplicate(df, digest=digest, folder=folder)
+        want = {(r[0], r[3]): r for r in slow_groups(seen)}
+        assert plain(judged, "doc_id", "keep_id", "group_size", "text_sha256") == sorted((want[i, hashlib.sha256((t or "").encode()).hexdigest()] for i, t, *_ in rows), key=lambda r: tuple((v is None, v) for v in r))
+        assert staged.count() == len(seen)
+
+
 def test_kept_documents_and_empty(docs, no_docs):
     kept = exact_dedup.kept_documents(docs)
     assert kept.columns == docs.columns and kept.count() == len({t or "" for _, t, _ in ROWS})
