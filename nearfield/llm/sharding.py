@@ -76,7 +76,7 @@ def plan_units(units: list[dict], shards: int) -> dict[tuple, int]:
     total = sum(u["bytes"] for u in units)
     share = total / shards
     load, where = [0] * shards, {}
-    large = sorted((u for u in units if u["bytes"] * 64 > share), key=lambda u: (-u["bytes"], u["id"])) if len(units) > 4 * shards else []
+    large = sorted((u for u in units if u["bytes"] * 64 > share), key=lambda u: (-u["bytes"], u["id"]))
     for u in large:
         s = min(range(shards), key=lambda i: (load[i], i))
         load[s] += u["bytes"]
