@@ -23,26 +23,33 @@ SPLITS = 64
 
 
 def order_statistics(rows: DataFrame, key: str, value: str, p: list[float]) -> DataFrame:
-    """(key, p, value): the value at place floor(p * (n - 1)) of each key's sorted values."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
-    splits = counts.groupBy(key).agg(F.sum("n").alias("total"), F.percentile_approx(value, F.lit([i / SPLITS for i in range(1, SPLITS)]), F.lit(1000)).alias("splits"))
-    placed = counts.join(splits, key).select(key, value, "n", "total", F.size(F.filter("splits", lambda s: s <= F.col(value))).alias("bucket"))
-    buckets = placed.groupBy(key, "bucket", "total").agg(F.sum("n").alias("in_bucket"))
-    before = buckets.withColumn("before", F.coalesce(F.sum("in_bucket").over(Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    wanted = before.select("*", F.explode(F.lit(p).cast("array<double>")).alias("p")).withColumn("place", F.floor(F.col("p") * (F.col("total") - 1)).cast("long"))
-    wanted = wanted.filter((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("in_bucket"))).select(key, "bucket", "p", "place", "before")
-    inside = placed.join(wanted.select(key, "bucket").distinct(), [key, "bucket"], "left_semi")
-    upto = F.sum("n").over(Window.partitionBy(key, "bucket").orderBy(value))
-    running = inside.select(key, "bucket", value, "n", upto.alias("upto"))
-    met = running.join(wanted, [key, "bucket"]).filter((F.col("before") + F.col("upto") > F.col("place")) & (F.col("before") + F.col("upto") - F.col("n") <= F.col("place")))
-    return met.select(key, "p", value)
+    """(key, p, value): the value at place floor(p * (n - 1)) of each key's sorted values; null is a key like others.
+
+    Buckets end at values drawn by their hash, which are the same wherever and in whatever order they are found.
+    """
+    # a struct, so that joins keep a null key
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.struct(key).alias("k"), value).agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("k").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("values"))
+    drawn = F.pmod(F.xxhash64(value, F.lit(7)), F.lit(1 << 30)) < F.lit(SPLITS << 30) / F.col("values")
+    splits = counts.join(totals, "k").groupBy("k", "total").agg(F.sort_array(F.collect_list(F.when(drawn, F.col(value)))).alias("splits"))
+    placed = counts.join(splits, "k").select("k", value, "n", "total", F.size(F.filter("splits", lambda s: s <= F.col(value))).alias("bucket"))
+    buckets = placed.groupBy("k", "bucket", "total").agg(F.sum("n").alias("in_bucket"))
+    before = buckets.withColumn("before", F.coalesce(F.sum("in_bucket").over(Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    wanted = before.select("*", F.explode(F.lit(p).cast("array<double>")).alias("p")).withColumn("place", F.floor(F.col("p").cast("decimal(18,9)") * (F.col("total") - 1)).cast("long"))
+    wanted = wanted.filter((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("in_bucket"))).select("k", "bucket", "p", "place", "before")
+    inside = placed.join(wanted.select("k", "bucket").distinct(), ["k", "bucket"], "left_semi")
+    upto = F.sum("n").over(Window.partitionBy("k", "bucket").orderBy(value))
+    running = inside.select("k", "bucket", value, "n", upto.alias("upto"))
+    met = running.join(wanted, ["k", "bucket"]).filter((F.col("before") + F.col("upto") > F.col("place")) & (F.col("before") + F.col("upto") - F.col("n") <= F.col("place")))
+    return met.select(F.col(f"k.{key}").alias(key), "p", value)
 
 
 def latency_percentiles(events: DataFrame) -> DataFrame:
-    """index, p50, p95, p99, and the true mean."""
+    """index, p50, p95, p99, and the true mean; all null for an index without latencies."""
     at = order_statistics(events, "index", "latency", [0.5, 0.95, 0.99])
-    wide = at.groupBy("index").agg(*[F.max(F.when(F.col("p") == p, F.col("latency"))).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
-    return wide.join(events.groupBy("index").agg(F.avg("latency").alias("mean")), "index")
+    wide = at.groupBy(F.struct("index").alias("k")).agg(*[F.max(F.when(F.col("p") == p, F.col("latency"))).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    means = events.groupBy(F.struct("index").alias("k")).agg(F.avg("latency").alias("mean"))
+    return means.join(wide, "k", "left").select("k.index", "p50", "p95", "p99", "mean")
 
 
 def latency_window(events: DataFrame) -> DataFrame:
