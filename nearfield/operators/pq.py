@@ -41,13 +41,9 @@ class Codebook:
         return self.centroids.shape[2]
 
     @classmethod
-    def train(cls, vectors: DataFrame, m: int, nbits: int = 8, max_train: int = kmeans.MAX_TRAIN, iterations: int = kmeans.ITERATIONS) -> Codebook:
-        """k-means of each subspace on a bounded sample."""
-        _, x = kmeans.sample(vectors, max_train)
-        if x.shape[1] % m:
-            raise ValueError("dimension must be a multiple of m")
-        dsub = x.shape[1] // m
-        return cls(np.stack([kmeans.train(np.ascontiguousarray(x[:, s * dsub : (s + 1) * dsub]), 2**nbits, iterations) for s in range(m)]))
+    def train(cls, vectors: DataFrame, m: int, nbits: int = 8, max_train: int | None = None, iterations: int = kmeans.ITERATIONS) -> Codebook:
+        """k-means of each subspace on all vectors, or about ``max_train`` of them."""
+        return cls(kmeans.fit(vectors, 2**nbits, iterations, m=m, max_train=max_train))
 
     def encode_matrix(self, x: np.ndarray) -> np.ndarray:
         return np.stack([kmeans.nearest(np.ascontiguousarray(x[:, s * self.dsub : (s + 1) * self.dsub]), self.centroids[s]) for s in range(self.m)], axis=1)

@@ -255,20 +255,17 @@ def _flat_sql(table):
 
 @query(f"WITH {_KM} SELECT s.c::BIGINT AS list_id, v.id FROM c0 s JOIN v ON v.vector = s.vector")
 def kmeans_seed(spark, sf_dir):
-    ids, x = kmeans.sample(vectors(spark, sf_dir))
-    return spark.createDataFrame([(i, int(ids[r])) for i, r in enumerate(kmeans.farthest_first(x, NLIST))], "list_id long, id long")
+    return spark.createDataFrame(list(enumerate(kmeans.seed_ids(vectors(spark, sf_dir), NLIST))), "list_id long, id long")
 
 
 @query(_flat_sql("c1"))
 def kmeans_lloyd_1(spark, sf_dir):
-    _, x = kmeans.sample(vectors(spark, sf_dir))
-    return _flat(spark, kmeans.train(x, NLIST, 1))
+    return _flat(spark, kmeans.fit(vectors(spark, sf_dir), NLIST, 1)[0])
 
 
 @query(_flat_sql(f"c{kmeans.ITERATIONS}"))
 def kmeans_train(spark, sf_dir):
-    _, x = kmeans.sample(vectors(spark, sf_dir))
-    return _flat(spark, kmeans.train(x, NLIST))
+    return _flat(spark, kmeans.fit(vectors(spark, sf_dir), NLIST)[0])
 
 
 # ---- inverted file -----------------------------------------------------------------------------------

@@ -195,3 +195,27 @@ def test_the_product_keeps_order_and_ties(metric):
             some = q == one
             assert i[some][np.lexsort((i[some], d[some]))][:7].tolist() == want.tolist()
     assert (kmeans.nearest(x, x[:40], metric) == plain.argmin(axis=1)).all()
+
+
+@pytest.mark.parametrize(("m", "candidates"), [(1, 1 << 20), (1, 400), (4, 1 << 20), (4, 400)])
+def test_training_where_the_vectors_lie_gives_the_same(rows, monkeypatch, m, candidates):
+    monkeypatch.setattr(kmeans, "CANDIDATE_BYTES", candidates)
+    bad = rows.sparkSession.createDataFrame([(-3, None), (-2, [1.0]), (-1, [float("nan")] * 8), (400, [1.0] * 7)], "id long, vector array<double>")
+    here, there = (kmeans.fit(rows.unionByName(bad.filter("id <> -2")), 12, m=m, held_bytes=b) for b in (1 << 30, 0))
+    assert here.shape == there.shape == (m, 12, 8 // m) and np.abs(here - there).max() < 1e-8
+    assert kmeans.seed_ids(rows, 12, 0) == kmeans.seed_ids(rows, 12) == kmeans.farthest_first(X, 12).tolist()
+
+
+def test_training_where_the_vectors_lie_by_squared_distances_and_of_few_or_no_vectors(rows):
+    there = kmeans.fit(rows, 5, seeding="d2", held_bytes=0)
+    assert there.shape == (1, 5, 8) and (there == kmeans.fit(rows, 5, seeding="d2", held_bytes=0)).all()
+    for held in (0, 1 << 30):
+        assert len(kmeans.fit(rows.filter("id < 3"), 7, held_bytes=held)[0]) == 3
+    with pytest.raises(ValueError, match="no vectors"):
+        kmeans.fit(rows.filter("id < 0"), 7, held_bytes=-1)
+
+
+def test_all_vectors_train_however_many(spark):
+    rows = spark.range(0, kmeans.MAX_TRAIN + 40_000, 1, 4).select("id", F.array((F.col("id") % 1000).cast("double")).alias("vector"))
+    rows = rows.withColumn("vector", F.when(F.col("id") % 20_000 == 17, F.array(1e6 + F.col("id"))).otherwise(F.col("vector")))
+    assert kmeans.seed_ids(rows, 2) == [0, 120_017] and IVFIndex.build(rows, 8).centroids.max() == 1e6 + 120_017
