@@ -246,7 +246,8 @@ def merge_dedupe(spark, sf_dir):
 
 
 def _flat(spark, centroids):
-    return spark.createDataFrame([(i, j, round(float(x), 6)) for i, c in enumerate(centroids) for j, x in enumerate(c)], "list_id long, pos long, value double")
+    rows = spark.createDataFrame([(i, j, float(x)) for i, c in enumerate(centroids) for j, x in enumerate(c)], "list_id long, pos long, value double")
+    return rows.withColumn("value", F.round("value", 6))  # halves away from zero, as in SQL
 
 
 def _flat_sql(table):

@@ -50,3 +50,9 @@ def test_percentiles_of_any_order_and_of_odd_groups(spark, capsys):
     assert found.count() == 3
     found.explain(True)  # an approximate sketch differs with the order in which tasks end, and the plan asks for it twice
     assert "percentile_approx" not in capsys.readouterr().out
+
+
+def test_halves_of_centroids_round_as_in_sql(spark, duck):
+    values = [-0.0150575, 0.0150575, 0.1234565, 2.5e-6, -0.0000005]
+    got = [r.value for r in queries._flat(spark, [values]).orderBy("pos").collect()]
+    assert got == [duck.execute(f"SELECT round({v!r}::DOUBLE, 6)").fetchone()[0] for v in values]
