@@ -33,6 +33,10 @@ from nearfield.llm.common import give_back
 _PLAIN = re.compile("[\n\x21-\x7e\xa1-\xac\xae-įĲ-ſ]+")
 #: White space to Python that is none to the tokenizer.
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: The pattern whose parts ``_ascii_parts`` finds by the kinds of bytes.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Of each byte: 0 a line's end, 1 a letter, 2 a digit, 3 others.
+_KIND = np.array([0 if b == 0x0A else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(128)], dtype=np.uint8)
 K1, B = 1.2, 0.75
 
 
@@ -93,6 +97,7 @@ class WordTokenizer:
         self.by_words = bool(suffix) and len(split) == 1
         if self.by_words:
             self.parts_of = regex.compile(rf"\n|{split[0]}").findall
+            self.by_kind = split[0] == _SPLIT
             self.bare = Tokenizer.from_str(json.dumps(model | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
             self.is_end = np.zeros(max(model["model"]["vocab"].values()) + 1, dtype=bool)
             for token, i in model["model"]["vocab"].items():
@@ -126,7 +131,8 @@ class WordTokenizer:
 
     def _encode_some(self, parts: list[str]) -> None:
         step = 2000
-        joined = [" ".join(parts[i : i + step]).encode().decode("latin-1").translate(self.letters) for i in range(0, len(parts), step)]
+        joined = [" ".join(parts[i : i + step]) for i in range(0, len(parts), step)]
+        joined = [j if j.isascii() else j.encode().decode("latin-1").translate(self.letters) for j in joined]  # printable ASCII stands for itself
         ids = np.array([i for e in self.bare.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], dtype=np.int32)
         ends = np.flatnonzero(self.is_end[ids]) + 1
         if len(ends) != len(parts):
@@ -134,30 +140,54 @@ class WordTokenizer:
         self.parts.update(zip(parts, range(len(self.parts), len(self.parts) + len(parts)), strict=True))
         self.part_ids.add(ids, np.diff(ends, prepend=0))
 
+    @staticmethod
+    def _ascii_parts(words: list[str]):
+        """(parts, first part of each word) of words of printable ASCII without apostrophes and special tokens."""
+        import pyarrow as pa
+
+        text = np.frombuffer("\n".join(words).lower().encode(), dtype=np.uint8)
+        kind = _KIND[text]
+        begins = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == 2)]))
+        kept = kind[begins] > 0
+        offsets = np.concatenate([[0], np.cumsum(np.diff(begins, append=len(text))[kept])])
+        begins = begins[kept]
+        first = np.flatnonzero((begins == 0) | (text[begins - 1] == 0x0A))
+        return pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(text[kind > 0])), first
+
     def _learn(self, new: list[str]) -> None:
-        plain, other = new, []
-        if not _PLAIN.fullmatch(whole := "\n".join(new)) or "<|" in whole:
-            plain = [w for w in new if _PLAIN.fullmatch(w) and "<|" not in w]
-            seen = set(plain)
-            other = [w for w in new if w not in seen]
-            whole = "\n".join(plain)
+        import pyarrow as pa
+
+        easy = [w for w in new if w.isascii() and w.isprintable() and "'" not in w and "<|" not in w] if self.by_kind else []
+        if len(easy) < len(new):
+            seen = set(easy)
+            new = [w for w in new if w not in seen]
+        else:
+            new = []
+        plain = [w for w in new if _PLAIN.fullmatch(w) and "<|" not in w]
+        seen = set(plain)
+        other = [w for w in new if w not in seen]
+        of_word, found = [], []
+        if easy:
+            parts, first = self._ascii_parts(easy)
+            of_word, found = [first], [parts]
         if plain:
-            flat = self.parts_of(whole.lower())
-            met = set(flat)
-            met.discard("\n")
+            flat = self.parts_of("\n".join(plain).lower())
+            breaks = np.array([i for i, p in enumerate(flat) if p == "\n"], dtype=np.int64)
+            of_word.append(np.concatenate([[0], breaks - np.arange(len(breaks))]) + sum(map(len, found)))  # first part of each word
+            found.append(pa.array([p for p in flat if p != "\n"], pa.large_string()))
+        if found:
+            coded = pa.concat_arrays(found).dictionary_encode()
+            met = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
             unknown = [p for p in met if p not in self.parts]
             self.common_parts = met, set(unknown)
             if len(self.parts) > self.most_words:
                 self.parts, self.part_ids = self._only(self.parts, self.part_ids, *self.common_parts)
             if unknown:
-                self._encode_parts(unknown)
-            at = np.fromiter(map(self.parts.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
-            breaks = np.flatnonzero(at < 0)
-            of_word = np.concatenate([[0], breaks - np.arange(len(breaks))])  # first part of each word
-            at = at[at >= 0]
-            sizes = np.add.reduceat(self.part_ids.sizes[at], of_word)
+                self._encode_parts(sorted(unknown, key=str.isascii))
+            at = np.fromiter(map(self.parts.__getitem__, met), dtype=np.int64, count=len(met))[coded.indices.to_numpy()]
+            sizes = np.add.reduceat(self.part_ids.sizes[at], np.concatenate(of_word))
             self.word_ids.add(self.part_ids.gather(at), sizes)
-            self.words.update(zip(plain, range(len(self.words), len(self.words) + len(plain)), strict=True))
+            self.words.update(zip(easy + plain, range(len(self.words), len(self.words) + len(sizes)), strict=True))
         if other:
             ids = [e.ids for e in self.whole.encode_batch_fast(other, add_special_tokens=False)]
             self.word_ids.add(np.array([i for x in ids for i in x], dtype=np.int32), np.array([len(x) for x in ids], dtype=np.int64))
@@ -176,19 +206,21 @@ class WordTokenizer:
         lists = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
         # words are told apart before they become Python strings
         flat = lists.flatten().dictionary_encode()
-        words = flat.dictionary.to_pylist()
-        known = self.words
-        new = [w for w in words if w not in known]
-        self.common = words, set(new)
-        if len(known) > self.most_words:
-            self.words, self.word_ids = self._only(known, self.word_ids, *self.common)
+        words = flat.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
+        place = np.fromiter(map(self.words.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        missing = np.flatnonzero(place < 0)
+        unmet = [words[i] for i in missing.tolist()]
+        new = [w for w in unmet if w]
+        self.common = words, set(unmet)
+        if len(self.words) > self.most_words:
+            self.words, self.word_ids = self._only(self.words, self.word_ids, *self.common)
+            place = np.fromiter(map(self.words.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         if "" in self.common[1]:  # before white space at the start, and after it at the end
-            new.remove("")
             self.words[""] = len(self.words)
             self.word_ids.add(np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64))
         if new:
             self._learn(new)
-        place = np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))
+        place[missing] = np.fromiter(map(self.words.__getitem__, unmet), dtype=np.int64, count=len(unmet))
         at = place[flat.indices.to_numpy()]
         ids, ends = self.word_ids.gather(at), np.cumsum(self.word_ids.sizes[at])
         offsets = lists.offsets.to_numpy()

@@ -509,6 +509,20 @@ def test_all_terms_of_a_long_seed_score():
     assert [i for i, _, _ in seqs[0]] == [0, 2]
 
 
+def test_parts_by_kinds_of_bytes_are_those_of_the_pattern(tokenizer):
+    words = packing.WordTokenizer(packing.default_tokenizer())
+    assert words.by_kind
+    rng = np.random.default_rng(5)
+    letters = np.array([c for c in map(chr, range(0x21, 0x7F)) if c != "'"] + list("abcXYZ019") * 9)
+    texts = ["".join(rng.choice(letters, n)).replace("<|", "<") for n in rng.integers(1, 30, 3000)]
+    parts, first = words._ascii_parts(texts)
+    found = parts.to_pylist()
+    assert [found[a:b] for a, b in zip(first, [*first[1:], len(parts)], strict=True)] == [words.parts_of(t.lower()) for t in texts]
+    odd = ["it's a 'test' we'll", "d\x7fel \x01 \x1b[0m", "x<|endoftext|>y <| z", "Ärger's Œuvre 日本 \U0001f600 naïve'", "A1b22,;c", ""]
+    for text in [*odd, " ".join(texts), " ".join(odd + texts[:50])]:
+        assert words.encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 # ---- 10 chat -----------------------------------------------------------------------------------------
 
 
