@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions import distance, validate
@@ -52,6 +52,14 @@ def _near(found: DataFrame) -> DataFrame:
     return found.withColumn("distance", F.round("distance", 6))
 
 
+def _six_places(column: str) -> Column:
+    """Rounded as the SQL does, halves of the product away from zero; F.round takes the halves of the decimal digits."""
+    value = F.col(column)
+    product = F.abs(value) * 1e6
+    whole = F.rint(product)  # halves to even
+    return F.signum(value) * (whole + (product - whole == 0.5).cast("double")) / 1e6
+
+
 # ---- SQL pieces --------------------------------------------------------------------------------------
 
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1] * p[2]))"
@@ -144,7 +152,7 @@ def scan_vectors_slice(spark, sf_dir):
 @query(f"WITH {_KM} SELECT list_id::BIGINT AS list_id, pos::BIGINT AS pos, round(x, 6) AS value FROM (SELECT list_id, unnest(vector) AS x, generate_subscripts(vector, 1) - 1 AS pos FROM cent)")
 def centroids_table(spark, sf_dir):
     index, _ = _index(spark, sf_dir)
-    return index.centroid_rows(spark).select("list_id", F.posexplode("centroid").alias("pos", "value")).select("list_id", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
+    return index.centroid_rows(spark).select("list_id", F.posexplode("centroid").alias("pos", "value")).select("list_id", F.col("pos").cast("long").alias("pos"), _six_places("value").alias("value"))
 
 
 @query(f"WITH {_KM}, {_assign()} SELECT list_id::BIGINT AS list_id, count(*) AS num_vectors, (count(*) * ({DIMENSION} * 4 + 8))::BIGINT AS bytes FROM lists GROUP BY list_id")
@@ -247,7 +255,7 @@ def merge_dedupe(spark, sf_dir):
 
 def _flat(spark, centroids):
     rows = spark.createDataFrame([(i, j, float(x)) for i, c in enumerate(centroids) for j, x in enumerate(c)], "list_id long, pos long, value double")
-    return rows.withColumn("value", F.round("value", 6))  # halves away from zero, as in SQL
+    return rows.withColumn("value", _six_places("value"))
 
 
 def _flat_sql(table):
@@ -376,7 +384,7 @@ def pq_codebook_ids(spark, sf_dir):
 @query(f"WITH {_PQ} SELECT sub::BIGINT AS sub, code::BIGINT AS code, pos::BIGINT AS pos, round(x, 6) AS value FROM (SELECT sub, code, unnest(vector) AS x, generate_subscripts(vector, 1) - 1 AS pos FROM book)")
 def pq_train(spark, sf_dir):
     rows = _book(spark, sf_dir)[0].rows(spark).select("sub", "code", F.posexplode("centroid").alias("pos", "value"))
-    return rows.select("sub", "code", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
+    return rows.select("sub", "code", F.col("pos").cast("long").alias("pos"), _six_places("value").alias("value"))
 
 
 @query(f"WITH {_PQ}, {_CODES} SELECT id, sub::BIGINT AS sub, code::BIGINT AS code FROM codes")

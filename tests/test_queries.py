@@ -3,9 +3,11 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from nearfield.operators import metrics
+from nearfield.operators.ivf import IVFIndex
 from nearfield.plans import queries
 
 DATA = "/root/testdata/sf0.001"
@@ -56,3 +58,11 @@ def test_halves_of_centroids_round_as_in_sql(spark, duck):
     values = [-0.0150575, 0.0150575, 0.1234565, 2.5e-6, -0.0000005]
     got = [r.value for r in queries._flat(spark, [values]).orderBy("pos").collect()]
     assert got == [duck.execute(f"SELECT round({v!r}::DOUBLE, 6)").fetchone()[0] for v in values]
+
+
+def test_centroids_round_as_in_sql_where_the_product_is_no_half(spark, duck, monkeypatch):
+    values = [0.5077915, 1.0286505, -1.0197355, -1.0170635, 0.1234565, -0.0150575, 2.5e-6, -1e-7, 0.0, 3.0]
+    want = [repr(duck.execute(f"SELECT round({v!r}::DOUBLE, 6)").fetchone()[0]) for v in values]
+    monkeypatch.setattr(queries, "_index", lambda spark, sf_dir: (IVFIndex(np.array([values]), None), None))
+    for got in (queries.centroids_table(spark, DATA), queries._flat(spark, [values])):
+        assert [repr(r.value) for r in got.orderBy("pos").collect()] == want
